@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import digest, find_contamination
+from . import decontaminate, quality
 from .token_files import token_files
 from .tokens import token_counts
 
@@ -22,18 +22,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE, limit=512)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    return digest(find_contamination(docs, items, keep_text=False))
+    return decontaminate.digest(decontaminate.find_contamination(docs, items, keep_text=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_token_files, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_token_files, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality.oracle()}
