@@ -20,13 +20,15 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SOLID = frozenset(string.ascii_letters + string.digits + string.punctuation)
 BYTE_SPACE = "\u0120"  # how byte-level vocabularies spell a space
 #: Letters that every Unicode version calls letters, and then at most one mark.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 MARKS = ".,"
-MEMO_UNITS = 400_000
+MEMO_UNITS = 600_000
 
 
 def is_solid(ch: str) -> bool:
@@ -63,7 +65,7 @@ class UnitEncoder:
             signs = [*range(33, 127), *range(161, 173), *range(174, 256)]
             others = [x for x in range(256) if x not in signs]
             self.byte_names = dict(zip(signs, signs, strict=True)) | {x: 256 + k for k, x in enumerate(others)}
-            self.marks = {x: self._packed(x) if x else b"" for x in ("", *MARKS)} if self.stable else {}
+            self.bare = Tokenizer(self.tool.model)  # merges alone: its input is split already
             self.opens = np.zeros(self.tool.get_vocab_size(), dtype=bool)
             self.opens[[i for x, i in self.tool.get_vocab().items() if x.startswith(BYTE_SPACE)]] = True
 
@@ -95,58 +97,44 @@ class UnitEncoder:
     def _packed(self, unit: str) -> bytes:
         return array(self.dtype.char, self.encode_whole(unit)).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > self.memo_units:
-            self.memo, self.old = {}, self.memo
-        new = []
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of distinct closed pieces after a space; they go into the memo."""
+        learnt, new = {}, []
         for piece in pieces:
             packed = self.old.get(piece)
             if packed is None:
                 new.append(piece)
             else:
-                self.memo[piece] = packed
-        plain, rest = [], []
+                learnt[piece] = packed
+        plain, rest, matches = [], [], []
         for piece in new:
-            (plain if PLAIN(piece) else rest).append(piece)
-        for piece in plain:  # a word, and perhaps a mark, are one match each
+            if not PLAIN(piece):
+                rest.append(piece)
+                continue
+            # A word, and a mark after it, are one match each.
+            plain.append(piece)
             mark = piece[-1] if piece[-1] in MARKS else ""
             word = piece[:-1] if mark else piece
-            ids = self._match(BYTE_SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_names)))
-            self.memo[piece] = ids + self.marks[mark]
-        if not rest:
-            return
-        # A piece holds no space, so the tokens that begin with one begin the units.
-        (done,) = self.tool.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)
-        ids = np.array(done.ids, dtype=self.dtype)
-        cuts = np.flatnonzero(self.opens[ids]) * self.dtype.itemsize
-        packed, ends = ids.tobytes(), [*cuts[1:].tolist(), ids.nbytes]
-        for piece, a, b in zip(rest, cuts.tolist(), ends, strict=True):
-            self.memo[piece] = packed[a:b]
-
-    def _match(self, spelled: str) -> bytes:
-        """One match of the splitting pattern, spelled as the vocabulary spells bytes."""
-        return array(self.dtype.char, [x.id for x in self.tool.model.tokenize(spelled)]).tobytes()
-
-    def packed_ids(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian integers of ``dtype``."""
-        if not self.stable:
-            return self._packed(text)
-        first, *pieces = text.split(" ")
-        if not pieces:
-            return self._packed(first)
-        last = pieces.pop()
-        if not first or not is_solid(first[-1]):
-            return self._packed(text)
-        found = list(map(self.memo.get, pieces))
-        if None in found:
-            missing = list({x: None for x, y in zip(pieces, found, strict=True) if y is None})
-            if not all(x and is_solid(x[-1]) for x in missing):
-                return self._open_text(text)
-            self._learn(missing)
-            found = list(map(self.memo.get, pieces))
-            if None in found:  # a generation began within this text
-                return self._packed(text)
-        return self._packed(first) + b"".join(found) + self._packed(" " + last)
+            matches.append(BYTE_SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_names)))
+            if mark:
+                matches.append(mark)
+        if plain:
+            self._share_out(plain, self.bare.encode_batch_fast([matches], is_pretokenized=True, add_special_tokens=False)[0], learnt)
+        if rest:
+            self._share_out(rest, self.tool.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0], learnt)
+        if len(self.memo) + len(learnt) > self.memo_units:
+            self.memo, self.old = {}, self.memo
+        if len(learnt) <= self.memo_units:
+            self.memo |= learnt
+        return learnt
+
+    def _share_out(self, pieces: list[str], encoded, learnt: dict[str, bytes]) -> None:
+        """A piece holds no space, so the tokens that begin with one begin the units."""
+        ids = np.array(encoded.ids, dtype=self.dtype)
+        cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
+        packed = ids.tobytes()
+        for piece, a, b in zip(pieces, cuts, [*cuts[1:], ids.nbytes], strict=True):
+            learnt[piece] = packed[a:b]
 
     def _open_text(self, text: str) -> bytes:
         """Pieces that end in white space stay with what follows them."""
@@ -160,8 +148,54 @@ class UnitEncoder:
             units.append(held)
         return b"".join(self._packed(x if k == 0 else " " + x) for k, x in enumerate(units))
 
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end.
+
+        Pieces of all texts are numbered at once, so that the memo is asked once
+        for each distinct piece of the batch.
+        """
+        done = [None] * len(texts)
+        if not self.stable:
+            return self._joined([self._packed(x) for x in texts])
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.values.dictionary_encode()
+        codes, units = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts, lasts = bounds[:-1], bounds[1:] - 1
+        closed = np.fromiter((bool(x) and is_solid(x[-1]) for x in units), dtype=bool, count=len(units))
+        inner = closed[codes]
+        inner[lasts] = True
+        good = np.logical_and.reduceat(inner, firsts) if len(texts) else np.zeros(0, dtype=bool)
+        for k in np.flatnonzero(~good).tolist():
+            done[k] = self._open_text(texts[k])
+        packed = self._packed_units(units, closed)
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(units)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(packed), dtype=self.dtype)
+        rest = np.ones(len(codes), dtype=bool)
+        rest[firsts] = False
+        codes = codes[rest]
+        bounds = bounds - np.arange(len(bounds))
+        reps = sizes[codes]
+        after = np.concatenate([[0], np.cumsum(reps)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - after[:-1], reps) + np.arange(after[-1])]
+        for k, (a, b, text) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts, strict=True)):
+            if done[k] is None:
+                done[k] = self._packed(text[: text.index(" ")] if b > a else text) + ids[after[a] : after[b]].tobytes()
+        return self._joined(done)
+
+    def _packed_units(self, units: list[str], closed: np.ndarray) -> list[bytes]:
+        """The ids of each unit after a space; open ones, which end texts, aren't kept."""
+        found = list(map(self.memo.get, units))
+        missing = [x for x, y, z in zip(units, found, closed.tolist(), strict=True) if y is None and z]
+        learnt = self._learn(missing)
+        return [y if y is not None else learnt[x] if z else self._packed(f" {x}") for x, y, z in zip(units, found, closed.tolist(), strict=True)]
+
+    def _joined(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(packed), dtype=self.dtype), np.concatenate([[0], np.cumsum(sizes)])
+
     def count(self, text: str) -> int:
-        return len(self.packed_ids(text)) // self.dtype.itemsize
+        return len(self.encode_many([text])[0])
 
 
 def resynchronised(text: str, spans: Callable[[str], tuple[np.ndarray, np.ndarray]], chunk: int, overlap: int) -> tuple[int, int]:

@@ -58,11 +58,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": [len(doc_ids)], "n_tokens": [held], "file": [name]})
 
         for batch in batches:
-            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packed = tool.packed_ids(value.as_py()) + tail
-                ids.append(packed)
+            encoded, bounds = tool.encode_many(batch.column("text").to_pylist())
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids.append(encoded[bounds[k] : bounds[k + 1]].tobytes() + tail)
                 doc_ids.append(doc_id)
-                lengths.append(len(packed) // tool.dtype.itemsize)
+                lengths.append(len(ids[-1]) // tool.dtype.itemsize)
                 held += lengths[-1]
                 if held >= shard_tokens:
                     yield close()
@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if doc_ids:
             yield close()
 
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 1024)
     return ordered.mapInArrow(write, SHARD_SCHEMA)
 
 

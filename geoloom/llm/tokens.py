@@ -37,18 +37,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
         for batch in batches:
-            n_bytes, n_tokens, n_chunks = [], [], []
-            for value in batch.column(at):
-                doc = value.as_py() or ""
-                n_bytes.append(len(doc.encode()))
-                if tool.stable and len(doc) > chunk_chars:
-                    n, chunks = resynchronised(doc, tool.spans, chunk_chars, overlap_chars)
-                else:
-                    n, chunks = tool.count(doc), int(bool(doc))
-                n_tokens.append(n)
-                n_chunks.append(chunks)
+            docs = [x or "" for x in batch.column(at).to_pylist()]
+            huge = [tool.stable and len(x) > chunk_chars for x in docs]
+            n_tokens, n_chunks = [0] * len(docs), [int(bool(x)) for x in docs]
+            bounds = tool.encode_many(["" if h else x for x, h in zip(docs, huge, strict=True)])[1]
+            for k, (doc, is_huge) in enumerate(zip(docs, huge, strict=True)):
+                n_tokens[k] = int(bounds[k + 1] - bounds[k])
+                if is_huge:
+                    n_tokens[k], n_chunks[k] = resynchronised(doc, tool.spans, chunk_chars, overlap_chars)
+            n_bytes = [len(x.encode()) for x in docs]
             added = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(n_chunks, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in passed] + added, names=passed + names)
 
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 1024)
     return rows.mapInArrow(count, schema)
