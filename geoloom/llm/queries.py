@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, mixing, quality
 from .token_files import token_files
 from .tokens import token_counts
 
@@ -30,13 +30,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.production_mix(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find_contamination(docs, items, keep_text=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_token_files, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_token_files, op6_mix_sources, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
