@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, near_duplicates, quality
 from .token_files import token_files
 from .tokens import token_counts
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -40,7 +44,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_token_files, op6_mix_sources, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
