@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, quality
+from . import decontaminate, mixing, near_duplicates, quality, sharding
+from .shared import fresh_folder
 from .token_files import token_files
 from .tokens import token_counts
 
@@ -22,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE, limit=512)
 
 
+def op2_compact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.sharded(table(spark, sf_dir, "documents"), fresh_folder(spark, "shards"))
+    name = F.element_at(F.split("shard", "/"), -1)
+    return docs.select("doc_id", "source", "lang", F.octet_length("text").cast("long").alias("n_bytes"), name.alias("shard"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,7 +52,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op2_compact_shards, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
