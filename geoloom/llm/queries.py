@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, quality, sharding
+from . import decontaminate, mixing, near_duplicates, quality, sharding, url_filter
 from .shared import fresh_folder
 from .token_files import token_files
 from .tokens import token_counts
@@ -46,13 +46,18 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.production_mix(table(spark, sf_dir, "documents")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find_contamination(docs, items, keep_text=False))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_compact_shards, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op2_compact_shards, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op7_url_filter, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
