@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_written, written
@@ -43,36 +43,33 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     """
     dims = list(targets)
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
-    goals = {}
+    amount = cells.agg(F.sum("tokens").cast("double")).scalar()
     for dim in dims:
-        present = cells.select(dim).distinct().join(targets[dim], dim).groupBy(dim).agg(F.first("share").alias("share"))
-        whole = present.agg(F.sum("share")).scalar()
-        amount = cells.agg(F.sum("tokens").cast("double")).scalar()
-        goals[dim] = written(present.select(dim, (F.col("share") / whole * amount).alias(f"goal_{dim}")), "rake-goal")
-    rounds, error, old = 0, float("inf"), None
+        present = written(cells.select(dim).distinct().join(targets[dim], dim).groupBy(dim).agg(F.first("share").alias("share")), "rake-goal")
+        goal = present.select(F.col(dim).alias("_value"), (F.col("share") / present.agg(F.sum("share")).scalar() * amount).alias(f"_goal_{dim}"))
+        state = state.join(goal, state[dim] == goal["_value"], "left").drop("_value").fillna(0.0, [f"_goal_{dim}"])
+    state = written(state, "rake-cells")
+    rounds, error = 0, float("inf")
     while rounds < most_rounds and error > tolerance:
+        old, errors = state, []
         for _ in range(ROUNDS_PER_STEP):
             for dim in dims:
-                state = _scaled(state, dim, goals[dim])
+                state = state.withColumn("weight", _share(dim) * F.col("weight"))
             rounds += 1
-        state = written(state, "rake-cells")
-        error = max(_error(state, dim, goals[dim]) for dim in dims)
-        if old is not None:
-            drop_written(old)
-        old = state
-    return state, rounds, error
+        for dim in dims:
+            state = state.withColumn(f"_off_{dim}", F.when((F.col(f"_goal_{dim}") > 0) & (F.col("weight") > 0), F.abs(1 / _share(dim) - 1)).otherwise(0.0))
+            errors.append(F.max(f"_off_{dim}"))
+        checked = written(state, "rake-cells")
+        error = float(checked.agg(F.greatest(*errors, F.lit(0.0))).first()[0] or 0.0)
+        state = checked.drop(*(f"_off_{x}" for x in dims))
+        drop_written(old)
+    return state.drop(*(f"_goal_{x}" for x in dims)), rounds, error
 
 
-def _scaled(state: DataFrame, dim: str, goal: DataFrame) -> DataFrame:
-    sums = state.groupBy(dim).agg(F.sum("weight").alias("have")).join(goal, dim, "left")
-    factor = sums.select(F.col(dim).alias("_value"), F.when(F.col("have") > 0, F.coalesce(F.col(f"goal_{dim}"), F.lit(0.0)) / F.col("have")).otherwise(F.lit(0.0)).alias("_factor"))
-    return state.join(factor, state[dim] == factor["_value"]).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_value", "_factor")
-
-
-def _error(state: DataFrame, dim: str, goal: DataFrame) -> float:
-    have = state.groupBy(dim).agg(F.sum("weight").alias("have")).join(goal, dim)
-    value = have.agg(F.max(F.abs(F.col("have") / F.col(f"goal_{dim}") - 1))).first()[0]
-    return float(value or 0.0)
+def _share(dim: str) -> Column:
+    """What the weights of one value must be multiplied by to meet its goal."""
+    have = F.sum("weight").over(Window.partitionBy(dim))
+    return F.when(have > 0, F.col(f"_goal_{dim}") / have).otherwise(F.lit(0.0))
 
 
 def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float] | float], key: str = "doc_id", budget_tokens: float | None = None, seed: int = 17, into: str = "mix") -> DataFrame:
@@ -124,8 +121,8 @@ def _small(cells: DataFrame) -> DataFrame:
 
 
 PRODUCTION_DIMS = ("source", "lang", "topic")
-#: Shares to the power 0.7: large sources, languages and topics give way to small ones.
-PRODUCTION_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
+#: Powers below 1: large sources, languages and topics give way to small ones.
+PRODUCTION_TARGETS = {"source": 0.8, "lang": 0.8, "topic": 0.95}
 
 
 def production_mix(docs: DataFrame, into: str = "mix") -> DataFrame:
