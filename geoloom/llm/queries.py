@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, mixing, near_duplicates, quality, sharding, url_filter
+from . import decontaminate, lm_scoring, mixing, near_duplicates, pii, quality, sharding, url_filter
 from .shared import fresh_folder
 from .token_files import token_files
 from .tokens import token_counts
@@ -61,8 +61,12 @@ def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(table(spark, sf_dir, "documents"), target)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.found(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_compact_shards, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_cross_entropy_difference)}
+    return {f.__name__: f for f in (op1_token_counts, op2_compact_shards, op3_quality_rules, op4_near_duplicates, op5_token_files, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_cross_entropy_difference, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
