@@ -5,8 +5,8 @@ a reread and no step repeats another:
 
 1. signatures: one row a document, with a fingerprint of its words and band keys;
 2. documents of equal words fold into the least doc_id (partial aggregation);
-3. members of a bucket are compared with its leader alone, the least id: as many
-   pairs as members, however large the bucket;
+3. members of a bucket are compared with a few leaders alone, least ids: the
+   pairs are a fixed multiple of the members, however large the bucket;
 4. verified links give components, by alternating star contractions;
 5. a bucket whose other members still lie in several components gets further
    leaders, twice as many each round, until every two members of different
@@ -30,6 +30,10 @@ from .shared import drop_written, short_batches, written
 
 #: 20 bands of 4 registers find a pair of similarity 0.8 but for 3 in 100,000.
 BANDS, ROWS, SIMILARITY = 20, 4, 0.8
+#: Leaders of a bucket in the first round: the least ids of so many parts of it.
+LEADERS = 4
+#: At most so many ids, of eight bytes, are broadcast.
+BROADCAST_IDS = 4_000_000
 
 
 def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -63,12 +67,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
             good = [probability_jaccard(sets[place[x]], sets[place[y]]) >= similarity for x, y in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("hi"), batch.column("lo")], names=["hi", "lo"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
     sided = pairs.join(texts, pairs["hi"] == texts["id"]).select("hi", "lo", F.col("text").alias("hi_text"))
     sided = sided.join(texts, sided["lo"] == texts["id"]).select("hi", "lo", "hi_text", F.col("text").alias("lo_text"))
     return sided.mapInArrow(check, "hi long, lo long")
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.greatest("member", "leader").alias("hi"), F.least("member", "leader").alias("lo")).distinct()
+
+
+def _without(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    gone = leaders.select(F.col("key").alias("_key"), F.col("leader").alias("_leader"))
+    return members.join(gone, (members["key"] == gone["_key"]) & (members["member"] == gone["_leader"]), "left_anti").select("key", "member")
+
+
+def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of these documents, written once for all rounds.
+
+    Up to ``BROADCAST_IDS`` ids, which are counted, are broadcast, so that no text
+    is shuffled to find them; more are joined by a shuffle.
+    """
+    ids = written(ids, "candidates")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    return written(texts.join(few, texts["doc_id"] == few["id"], "left_semi"), "candidate-texts")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: each node of the links (hi, lo) with the least node it reaches.
 
@@ -108,12 +133,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
     reps = written(reps, "representatives")
     members = reps.select(F.col("rep").alias("member"), F.explode("keys").alias("key"))
-    leaders = members.groupBy("key").agg(F.min("member").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    led = written(members.join(leaders, "key").where("member != leader"), "buckets")
-    edges = written(_verified(led.select(F.col("member").alias("hi"), F.col("leader").alias("lo")).distinct(), docs, similarity), "links")
+    split = F.pmod(F.xxhash64("member"), F.lit(LEADERS)).alias("split")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    led = written(members.join(shared, "key"), "buckets")
+    leaders = written(led.groupBy("key", split).agg(F.min("member").alias("leader")).select("key", "leader"), "leaders")
+    texts = _chosen_texts(docs, led.select(F.col("member").alias("id")).distinct())
+    edges = written(_verified(_pairs(led.join(leaders, "key").where("member != leader")), texts, similarity), "links")
     labels = components(edges)
     # From here on ``led`` holds the members that haven't led their bucket.
-    led, n_leaders = led.select("key", "member"), 1
+    led, n_leaders = _without(led, leaders), LEADERS
     while True:
         labelled = led.join(labels, led["member"] == labels["node"], "left").select("key", "member", F.coalesce("label", "member").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
@@ -123,9 +151,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         first = still.groupBy("key", "label").agg(F.min("member").alias("leader"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy("leader"))
         chosen = written(first.withColumn("rank", rank).where(F.col("rank") <= n_leaders).select("key", "leader", F.col("label").alias("leader_label")), "leaders")
-        pairs = still.join(chosen, "key").where("label != leader_label").select(F.greatest("member", "leader").alias("hi"), F.least("member", "leader").alias("lo")).distinct()
-        more = written(_verified(pairs, docs, similarity), "links")
-        led = still.join(chosen, (still["key"] == chosen["key"]) & (still["member"] == chosen["leader"]), "left_anti").select("key", "member")
+        more = written(_verified(_pairs(still.join(chosen, "key").where("label != leader_label")), texts, similarity), "links")
+        led = _without(still, chosen)
         edges = edges.unionByName(more)
         if not more.isEmpty():
             labels = components(edges)
@@ -141,4 +168,5 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows without a doc_id stay, since they can't be told apart.
     """
     gone = written(near_duplicates(docs, similarity).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(few, docs["doc_id"] == few["_gone"], "left_anti").select(docs.columns)
