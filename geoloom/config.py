@@ -31,7 +31,7 @@ class Settings:
     """Read from the environment when made."""
 
     database_url: str = field(default_factory=lambda: os.environ.get("DATABASE_URL", ""))
-    nested_token: str = field(default_factory=lambda: os.environ.get("MAPILLARY_TOKEN", ""))
+    nested_token: str = field(default_factory=lambda: os.environ.get("MAPILLARY_ACCESS_TOKEN", ""))
     dedup_radius_m: float = 7.0
     max_per_cluster: int = 2
     min_image_bytes: int = 10_000

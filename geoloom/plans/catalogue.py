@@ -1,11 +1,413 @@
-"""The registered queries of the engine and their SQL twins."""
+"""The registered queries of the engine and their SQL twins.
+
+The given tables have no coordinates, so points come from dense keys by integer
+arithmetic, which both engines round alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import grid, parse, preview, records, retrieval, spatial, validate
+from ..sources import download
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dense(key: str) -> tuple[Column, Column]:
+    k = F.col(key).cast("long")
+    return F.lit(55.75) + (k * 7919 % 307) * F.lit(1e-5), F.lit(37.61) + (k * 104729 % 401) * F.lit(1e-5)
+
+
+def wide(key: str) -> tuple[Column, Column]:
+    k = F.col(key).cast("long")
+    return F.lit(55.50) + (k * 7919 % 50000) * F.lit(1e-5), F.lit(37.25) + (k * 104729 % 70000) * F.lit(1e-5)
+
+
+def dense_points(rows: DataFrame, key: str) -> DataFrame:
+    lat, lon = dense(key)
+    return rows.select(F.col(key).cast("long").alias("ord"), lat.alias("lat"), lon.alias("lon"))
+
+
+DENSE_SQL = "55.75::double + (({k} * 7919) % 307)::double * 1e-5::double as lat, 37.61::double + (({k} * 104729) % 401)::double * 1e-5::double as lon"
+WIDE_SQL = "55.50::double + (({k} * 7919) % 50000)::double * 1e-5::double as lat, 37.25::double + (({k} * 104729) % 70000)::double * 1e-5::double as lon"
+HAVERSINE_SQL = "2 * 6371000.0::double * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))"
+
+
+def _cells_sql(radius: float) -> str:
+    return f"trunc(lat / ({radius}::double / 111320.0::double))::bigint as cx, trunc(lon / ({radius}::double / 65000.0::double))::bigint as cy"
+
+
+def _uuid_sql(key: str) -> str:
+    h = f"sha1(from_hex('58e0f6cae6654fb684278e9205467f52') || encode({key}))"
+    return f"(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select {h} as h))"
+
+
+# Generators ---------------------------------------------------------------
+
+
+def _axis_sql(low: float, high: float, step: float, name: str) -> str:
+    n = int((high - low) / step) + 2
+    return (
+        f"select k - 1 as k, e[k] as low, e[k + 1] as high from (select list_reduce(list_prepend([{low}::double], list_transform(range({n}), lambda i: [i::double])), "
+        f"lambda a, i: list_append(a, least(a[len(a)] + {step}::double, {high}::double))) as e), range(1, {n + 1}) as r(k) where e[k] < {high}::double - 1e-12::double"
+    )
+
+
+def _grid_sql(lats: tuple, lons: tuple) -> str:
+    return f"with a as ({_axis_sql(*lats, 'a')}), b as ({_axis_sql(*lons, 'b')}) select (a.k * (select count(*) from b) + b.k)::bigint as tile_no, a.low as min_lat, a.high as max_lat, b.low as min_lon, b.high as max_lon from a, b"
+
+
+@_query(_grid_sql((55.55, 55.95, 0.01), (37.30, 37.90, 0.01)))
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.default_tiles(spark)
+
+
+@_query(_grid_sql((0.0, 1.0, 0.3), (0.0, 0.1, 0.03)))
+def tile_grid_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.build_grid(spark, min_lat=0.0, max_lat=1.0, min_lon=0.0, max_lon=0.1, lat_step=0.3, lon_step=0.03)
+
+
+@_query(f"""with t as ({_grid_sql((55.55, 55.95, 0.01), (37.30, 37.90, 0.01))}), p as (select o_orderkey::bigint as ord, {WIDE_SQL.format(k='o_orderkey')} from orders)
+select p.ord, p.lat, p.lon, t.tile_no from p left join t on lat >= min_lat and lon >= min_lon and (lat < max_lat or (max_lat > 55.9499 and lat <= max_lat)) and (lon < max_lon or (max_lon > 37.8999 and lon <= max_lon))""")
+def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = wide("o_orderkey")
+    points = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("ord"), lat.alias("lat"), lon.alias("lon"))
+    return grid.assign_tiles(points, grid.default_tiles(spark)).select("ord", "lat", "lon", "tile_no")
+
+
+@_query("select min_lon::varchar || ',' || min_lat::varchar || ',' || max_lon::varchar || ',' || max_lat::varchar as bbox from (values (55.5::double, 55.75::double, 37.25::double, 37.5::double), (0.5::double, 1.5::double, -2.25::double, 3.125::double)) as t(min_lat, max_lat, min_lon, max_lon)")
+def bbox_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(55.5, 55.75, 37.25, 37.5), (0.5, 1.5, -2.25, 3.125)], "min_lat double, max_lat double, min_lon double, max_lon double")
+    return rows.select(scalar.bbox_text("min_lat", "max_lat", "min_lon", "max_lon").alias("bbox"))
+
+
+# Parsers ------------------------------------------------------------------
+
+
+def _nested_items(events: DataFrame) -> DataFrame:
+    """Items of provider A whose fields go missing in turn."""
+    k = F.col("event_id")
+    lat, lon = dense("event_id")
+    pair = F.concat(F.lit('{"coordinates":['), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit("]}"))
+    parts = [
+        F.when(k % 11 == 0, F.lit('"id":null')).otherwise(F.concat(F.lit('"id":"e'), k.cast("string"), F.lit('"'))),
+        F.when(k % 7 == 0, F.lit('"geometry":{}')).when(k % 7 == 1, F.lit('"geometry":{"type":"Point"}')).when(k % 7 == 2, F.lit('"geometry":{"coordinates":[1.5]}')).otherwise(F.concat(F.lit('"geometry":'), pair)),
+        F.concat(F.lit('"computed_geometry":'), pair),
+        F.when(k % 5 == 0, F.lit('"thumb_2048_url":""')).otherwise(F.concat(F.lit('"thumb_2048_url":"u'), k.cast("string"), F.lit('"'))),
+        F.lit('"thumb_original_url":null,"url":"plain"'),
+        F.when(k % 3 == 0, F.concat(F.lit('"sequence":{"id":"s'), k.cast("string"), F.lit('"}'))).when(k % 3 == 1, F.lit('"sequence":7')).otherwise(F.lit('"sequence":{"id":0}')),
+        F.concat(F.lit('"captured_at":"t'), k.cast("string"), F.lit('"')),
+    ]
+    return events.select(k.alias("ord"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+
+
+@_query(f"""select event_id as ord, 'e' || event_id as id, lat, lon, 't' || event_id as "timestamp", case when event_id % 5 = 0 then 'plain' else 'u' || event_id end as image_url,
+case event_id % 3 when 0 then 's' || event_id when 1 then '7' end as sequence_id from (select event_id, {DENSE_SQL.format(k='event_id')} from events) where event_id % 11 <> 0 and event_id % 7 not in (1, 2)""")
+def parse_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse_nested(_nested_items(_t(spark, sf_dir, "events")))
+
+
+def _flat_items(orders: DataFrame) -> DataFrame:
+    """Items of provider B whose fields take turns in their names."""
+    k = F.col("o_orderkey")
+    lat, lon = (x.cast("string") for x in dense("o_orderkey"))
+
+    def named(names: list[str], value: Column, n: int) -> Column:
+        chain = F.lit(None).cast("string")
+        for place, name in enumerate(names):
+            chain = F.when(k % n == place, F.concat(F.lit(f'"{name}":'), value)).otherwise(chain)
+        return chain
+
+    own = k.cast("string")
+    parts = [
+        named(["id", "photoId", "imageId"], own, 4),
+        named(["lat", "latitude", "gpsLat"], F.when(k % 13 == 0, F.lit('"abc"')).otherwise(lat), 3),
+        named(["lon", "lng", "longitude", "gpsLng"], F.concat(F.lit('"'), lon, F.lit('"')), 4),
+        named(["fileurlProc", "fileurl", "thumbnailUrl", "url"], F.concat(F.lit('"p'), own, F.lit('"')), 5),
+        F.concat(F.lit('"shotDate":"","dateAdded":"d'), own, F.lit('"')),
+    ]
+    return orders.select(k.alias("ord"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+
+
+@_query(f"""select o_orderkey as ord, o_orderkey::varchar as id, lat, lon, 'd' || o_orderkey as "timestamp", case when o_orderkey % 5 < 4 then 'p' || o_orderkey end as image_url, null::varchar as sequence_id
+from (select o_orderkey, {DENSE_SQL.format(k='o_orderkey')} from orders) where o_orderkey % 4 <> 3 and o_orderkey % 13 <> 0""")
+def parse_aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse_flat(_flat_items(_t(spark, sf_dir, "orders")))
+
+
+@_query("select o_orderkey as ord, o_orderkey::varchar as id from orders where o_orderkey % 4 <> 3 and o_orderkey % 13 = 0")
+def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.rejected_flat(_flat_items(_t(spark, sf_dir, "orders"))).select("ord", "id")
+
+
+@_query("with b as (select o_orderkey // 100 as tile, min(o_orderkey) as bad from orders where o_orderkey % 4 <> 3 and o_orderkey % 13 = 0 group by 1) select o_orderkey as ord, o_orderkey::varchar as id from orders left join b on o_orderkey // 100 = tile where o_orderkey % 4 <> 3 and o_orderkey % 13 <> 0 and (bad is null or o_orderkey < bad)")
+def parse_failing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _flat_items(_t(spark, sf_dir, "orders")).withColumn("tile", F.expr("ord div 100"))
+    return parse.parse_flat_failing_tiles(items, "tile", "ord").select("ord", "id")
+
+
+# Records ------------------------------------------------------------------
+
+_LINE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+@_query("select l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) as n from lineitem) where n = 1")
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.keep_first(_t(spark, sf_dir, "lineitem").select("l_partkey", *_LINE), "l_partkey", _LINE)
+
+
+@_query("""with e as (select event_id, user_id from events), old as (select * from e where event_id % 3 = 0), new as (select * from e where event_id % 3 <> 0)
+select event_id, user_id, false as is_new from old union all select min(event_id), user_id, true from new where user_id not in (select user_id from old) group by user_id""")
+def resume_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id")
+    return records.append(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), "user_id", ["event_id"])
+
+
+def _raw(rows: DataFrame, key: str) -> DataFrame:
+    lat, lon = dense(key)
+    k = F.col(key)
+    return rows.select(
+        k.cast("long").alias("ord"), F.when(k % 17 != 0, k.cast("string")).alias("id"), F.when(k % 19 != 0, lat).alias("lat"), lon.alias("lon"),
+        F.concat(F.lit("t"), k.cast("string")).alias("timestamp"), F.when(k % 5 == 0, F.lit("")).when(k % 5 != 1, F.concat(F.lit("i/"), k.cast("string"))).alias("image_url"),
+        F.when(k % 10 == 0, F.lit("")).when(k % 10 != 6, F.lit("plain")).alias("url"), F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("MIT")).alias("license"),
+    )
+
+
+def _manifest_sql(key: str, table: str, source: str, owner: str) -> str:
+    url = f"coalesce(nullif(case when {key} % 5 = 0 then '' when {key} % 5 <> 1 then 'i/' || {key} end, ''), case when {key} % 10 = 0 then '' when {key} % 10 <> 6 then 'plain' end)"
+    return f"""select {_uuid_sql(f"'{source}:' || {key}")} as id, '{source}' as source, {key}::varchar as source_image_id, lat, lon, 't' || {key} as captured_at, null::double as heading,
+    'data/raw/images/{source}/' || {_uuid_sql(f"'{source}:' || {key}")} || '_' || {key} || '.jpg' as image_path, null::varchar as thumb_path,
+    case when {key} % 4 = 1 then 'MIT' else 'CC-BY-SA' end as license, '{owner}' as attribution, {url} as download_url
+    from (select *, {DENSE_SQL.format(k=key)} from {table}) where {key} % 17 <> 0 and {key} % 19 <> 0 and {url} is not null"""
+
+
+@_query(f"{_manifest_sql('o_orderkey', 'orders', 'mapillary', 'Mapillary')} union all {_manifest_sql('c_custkey', 'customer', 'kartaview', 'KartaView')}")
+def union_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    united = records.unite(("Mapillary", _raw(_t(spark, sf_dir, "orders"), "o_orderkey")), ("KartaView", _raw(_t(spark, sf_dir, "customer"), "c_custkey")))
+    return records.normalize(united).drop("metadata_json")
+
+
+# Scalar functions ---------------------------------------------------------
+
+
+@_query(f"select c_custkey, {_uuid_sql(chr(39) + 'kartaview:é' + chr(39) + ' || c_name')} as id from customer")
+def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", scalar.uuid5(F.concat(F.lit("kartaview:é"), "c_name")).alias("id"))
+
+
+@_query("""with v as (select 'page' as kind, page_id as k, url as v from pages union all select 'part', p_partkey, p_name from part union all select * from (values ('edge', 0::bigint, '...'), ('edge', 1, '._a._'), ('edge', 2, 'é/é'), ('edge', 3, ''), ('edge', 4, null)) as e(a, b, c))
+select kind, k, case when v is not null then coalesce(nullif(trim(regexp_replace(v, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'unknown') end as name from v""")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edge = spark.createDataFrame([("edge", 0, "..."), ("edge", 1, "._a._"), ("edge", 2, "é/é"), ("edge", 3, ""), ("edge", 4, None)], "kind string, k long, v string")
+    pages = _t(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("url").alias("v"))
+    parts = _t(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("k"), F.col("p_name").alias("v"))
+    return pages.union(parts).union(edge).select("kind", "k", scalar.safe_filename("v").alias("name"))
+
+
+@_query(f"with a as (select s_suppkey, s_nationkey, {WIDE_SQL.format(k='s_suppkey')} from supplier), b as (select n_nationkey, {WIDE_SQL.format(k='n_nationkey')} from nation) select s_suppkey, n_nationkey, round({HAVERSINE_SQL.format(a='a', b='b')}, 6) as distance_m from a join b on s_nationkey <> n_nationkey")
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = wide("s_suppkey"), wide("n_nationkey")
+    suppliers = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", a[0].alias("lat1"), a[1].alias("lon1"))
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", b[0].alias("lat2"), b[1].alias("lon2"))
+    pairs = suppliers.join(F.broadcast(nations), F.col("s_nationkey") != F.col("n_nationkey"))  # 25 nations, whatever the scale
+    return pairs.select("s_suppkey", "n_nationkey", F.round(scalar.haversine_m("lat1", "lon1", "lat2", "lon2"), 6).alias("distance_m"))
+
+
+@_query(f"select o_orderkey as ord, {_cells_sql(7.0)}, trunc(-lat / (7.0::double / 111320.0::double))::bigint as south from (select o_orderkey, {DENSE_SQL.format(k='o_orderkey')} from orders)")
+def cell_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dense_points(_t(spark, sf_dir, "orders"), "o_orderkey")
+    cx, cy = scalar.cell("lat", "lon", 7.0)
+    return p.select("ord", cx.alias("cx"), cy.alias("cy"), scalar.cell(-F.col("lat"), F.col("lon"), 7.0)[0].alias("south"))
+
+
+@_query("select n, list_transform(range(1, n), lambda k: 1.5::double * k)::varchar as pauses from (select unnest(range(1, 7)) as n)")
+def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1, 7).select(F.col("id").alias("n"), F.concat(F.lit("["), F.concat_ws(", ", scalar.backoffs("id", 1.5).cast("array<string>")), F.lit("]")).alias("pauses"))
+
+
+@_query("select event_id, event_id % 600 in (429, 500, 502, 503, 504) as again from events")
+def retryable_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", scalar.retryable(F.col("event_id") % 600).alias("again"))
+
+
+# Spatial ------------------------------------------------------------------
+
+
+def _pairs_sql(table: str, key: str, radius: float = 7.0, reach: int = 1) -> str:
+    return f"""p as (select {key}::bigint as ord, {DENSE_SQL.format(k=key)} from {table}), c as (select *, {_cells_sql(radius)} from p),
+    o as (select a.i as dx, b.i as dy from range(-{reach}, {reach + 1}) as a(i), range(-{reach}, {reach + 1}) as b(i)), x as (select ord, lat, lon, cx + dx as cx, cy + dy as cy from c, o),
+    pairs as (select s.ord as src, d.ord as dst, {HAVERSINE_SQL.format(a='d', b='s')} as m from c as d join x as s on d.cx = s.cx and d.cy = s.cy and s.ord < d.ord where m <= {radius}::double)"""
+
+
+@_query(f"with {_pairs_sql('customer', 'c_custkey')} select src, dst, round(m, 6) as distance_m from pairs")
+def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.neighbour_pairs(dense_points(_t(spark, sf_dir, "customer"), "c_custkey")).withColumn("distance_m", F.round("distance_m", 6))
+
+
+@_query(f"with {_pairs_sql('customer', 'c_custkey')} select ord, lat, lon, count(src)::bigint as n_neighbours from p left join pairs on ord = dst group by all")
+def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.neighbour_counts(dense_points(_t(spark, sf_dir, "customer"), "c_custkey"))
+
+
+def _dedup_sql(table: str, key: str, cap: int, reach: int = 1) -> str:
+    return f"""with recursive {_pairs_sql(table, key, reach=reach)}, near as materialized (select ord, list(src) filter (src is not null) as before from p left join pairs on ord = dst group by ord),
+    g(i, kept) as (select -1::bigint, []::bigint[] union all select near.ord, case when len(list_intersect(coalesce(before, []), kept)) < {cap} then list_append(kept, near.ord) else kept end from g join near on near.ord = g.i + 1)
+    select p.ord, p.lat, p.lon from p join (select unnest(kept) as k from g where i = (select max(i) from g)) on p.ord = k"""
+
+
+@_query(_dedup_sql("orders", "o_orderkey", 2))
+def spatial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.deduplicate(dense_points(_t(spark, sf_dir, "orders"), "o_orderkey"))
+
+
+@_query(_dedup_sql("customer", "c_custkey", 1))
+def spatial_dedup_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.deduplicate(dense_points(_t(spark, sf_dir, "customer"), "c_custkey"), max_per_cluster=1)
+
+
+@_query(_dedup_sql("customer", "c_custkey", 2, 2))
+def spatial_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.deduplicate(dense_points(_t(spark, sf_dir, "customer"), "c_custkey"), exact_radius=True)
+
+
+@_query(f"select c_custkey::bigint as ord, {DENSE_SQL.format(k='c_custkey')} from customer")
+def spatial_dedup_radius0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.deduplicate(dense_points(_t(spark, sf_dir, "customer"), "c_custkey"), radius_m=0)
+
+
+# Validation ---------------------------------------------------------------
+
+
+def _wide_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = wide("o_orderkey")
+    k = F.col("o_orderkey").cast("long")
+    return _t(spark, sf_dir, "orders").select(k.alias("ord"), k.cast("string").alias("id"), F.when(k % 23 != 0, lat).alias("lat"), lon.alias("lon"), F.concat(F.lit("img/"), (k % 5000).cast("string")).alias("image_path"))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing made from parts: sizes and broken files by modulo."""
+    k = F.col("p_partkey").cast("long")
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("img/"), k.cast("string")).alias("path"), (k * 13 % 20000).alias("length"), (k % 7 == 0).alias("broken"))
+
+
+_FLAGS_SQL = f"""with m as (select o_orderkey::bigint as ord, case when o_orderkey % 23 <> 0 then lat end as lat, lon, 'img/' || (o_orderkey % 5000) as image_path from (select o_orderkey, {WIDE_SQL.format(k='o_orderkey')} from orders)),
+i as (select 'img/' || p_partkey as path, p_partkey * 13 % 20000 as length, p_partkey % 7 = 0 as broken from part),
+f as (select ord::varchar as row_id, ord, not coalesce(lat between 55.55::double and 55.95::double and lon between 37.30::double and 37.90::double, false) as invalid_coords, path is null as missing_images, coalesce(length < 10000, false) as too_small, coalesce(broken, false) as broken_images from m left join i on path = image_path)"""
+
+
+@_query(f"{_FLAGS_SQL} select ord, not invalid_coords as valid from f")
+def validate_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_manifest(spark, sf_dir).select("ord", validate.valid_coord(F.col("lat"), F.col("lon")).alias("valid"))
+
+
+@_query(f"{_FLAGS_SQL} select count(*)::bigint as rows, 3::bigint as missing_fields, count_if(invalid_coords)::bigint as invalid_coords, count_if(missing_images)::bigint as missing_images, count_if(too_small)::bigint as too_small, count_if(broken_images)::bigint as broken_images from f")
+def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _wide_manifest(spark, sf_dir)
+    return validate.summary(validate.flags(m, _images(spark, sf_dir), order="ord"), len(validate.missing_columns(m)))
+
+
+@_query(f"{_FLAGS_SQL} select 'invalid_coords' as category, row_id, ord from f where invalid_coords union all select 'missing_images', row_id, ord from f where missing_images union all select 'too_small', row_id, ord from f where too_small union all select 'broken_images', row_id, ord from f where broken_images")
+def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.issues(validate.flags(_wide_manifest(spark, sf_dir), _images(spark, sf_dir), order="ord"))
+
+
+@_query("select * from (values ('missing_column:source'), ('missing_column:source_image_id'), ('missing_column:captured_at')) as t(entry)")
+def validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in validate.missing_columns(_wide_manifest(spark, sf_dir))], "entry string")
+
+
+# Paging, download, preview ------------------------------------------------
+
+_PAGES = [
+    '{"result": {"data": [1], "hasMore": false, "currentPage": 1, "totalPages": 2}}', '{"result": {"data": [1, 2], "currentPage": 1, "totalPages": 2}}',
+    '{"result": {"data": [1], "currentPage": 0, "page": 1, "totalPages": 2}}', '{"result": {"data": "x", "currentPage": 2, "totalPages": 2}}',
+    '{"result": {"data": [1], "hasMore": "true"}}', '{"result": {"data": []}}', '{"data": [1]}', '{"data": 5}', "[1, 2, 3]", "[]", "7",
+]
+
+
+@_query("select * from (values (0::bigint, 1::bigint, false), (1, 2, true), (2, 1, true), (3, 0, false), (4, 1, true), (5, 0, false), (6, 1, true), (7, 0, false), (8, 3, true), (9, 0, false), (10, 0, false)) as t(page, n_items, has_more)")
+def page_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    from ..sources.paging import extract_page
+
+    rows = [(k, len(items), more) for k, (items, more) in enumerate(extract_page(json.loads(x)) for x in _PAGES)]
+    return spark.createDataFrame(rows, "page long, n_items long, has_more boolean")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    url = F.when(k % 10 == 0, F.lit("")).when(k % 10 == 1, F.lit("NaN")).when(k % 10 != 2, F.col("url"))
+    rows = _t(spark, sf_dir, "pages").select(k.cast("string").alias("id"), url.alias("url"), (k % 4 == 3).alias("fails"))
+    status = F.when(scalar.url_missing("url"), "missing_url").when(F.col("fails"), "download_failed").otherwise("ok")
+    return rows.withColumn("status", status)
+
+
+@_query("select case when page_id % 10 in (0, 1, 2) then 'missing_url' when page_id % 4 = 3 then 'download_failed' else 'ok' end as status, count(*)::bigint as n from pages group by 1")
+def download_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query("select case when page_id % 10 in (0, 1, 2) then 'missing_url' || chr(9) || page_id else 'download_failed' || chr(9) || page_id || chr(9) || url end as value from pages where page_id % 10 in (0, 1, 2) or page_id % 4 = 3")
+def download_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return download.error_lines(_outcomes(spark, sf_dir))
+
+
+@_query("with s as (select doc_id, row_number() over (order by md5(doc_id::varchar || ':0'), doc_id) - 1 as idx from documents) select idx::int as idx, doc_id, (idx // 4)::int as slot_row, (idx % 4)::int as slot_col, (idx % 4 * 320)::int as x, (idx // 4 * 180)::int as y from s where idx < 20 and doc_id % 5 <> 0")
+def sample_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("north")).otherwise(F.lit(" 55.5 ")).alias("lat"), F.lit("37.5").alias("lon"))
+    return preview.layout(preview.sample(docs, 20, key="doc_id")).drop("lat", "lon")
+
+
+# Retrieval ----------------------------------------------------------------
+
+_DOT_SQL = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double * x[2]::double))"
+
+
+@_query(f"with s as (select a.vec_id as query_id, b.vec_id, {_DOT_SQL} as similarity from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) select query_id, vec_id, round(similarity, 6) as similarity, rank::int as rank from r where rank <= 3")
+def topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return retrieval.top_k(v.where("vec_id % 100 = 0"), v, 3).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(f"""with s as (select a.vec_id as query_id, b.vec_id, {_DOT_SQL} as w from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by w desc, vec_id) as rank from s),
+p as (select vec_id, {DENSE_SQL.format(k='vec_id')} from embeddings) select query_id, round(case when sum(greatest(w, 0)) > 0 then sum(greatest(w, 0) * lat) / sum(greatest(w, 0)) else avg(lat) end, 6) as lat, round(case when sum(greatest(w, 0)) > 0 then sum(greatest(w, 0) * lon) / sum(greatest(w, 0)) else avg(lon) end, 6) as lon, round(max(exp(10 * w)) / sum(exp(10 * w)), 6) as confidence from r join p using (vec_id) where rank <= 3 group by query_id""")
+def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lat, lon = dense("vec_id")
+    found = retrieval.locate(retrieval.top_k(v.where("vec_id % 100 = 0"), v, 3), v.select("vec_id", lat.alias("lat"), lon.alias("lon")))
+    return found.select("query_id", *(F.round(x, 6).alias(x) for x in ("lat", "lon", "confidence")))
+
+
+@_query("select 1::int as one")
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT 1 AS one")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
