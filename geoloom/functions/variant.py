@@ -1,55 +1,72 @@
-"""Truth and text of JSON values, as a dynamic language would see them."""
+"""Truth and text of JSON values, as a dynamic language would see them.
+
+A value's kind is needed again and again, so paths and kinds are columns of their
+own, in projections that the optimizer keeps apart.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def kind(value: Column) -> Column:
-    """STRING, BOOLEAN, OBJECT, ARRAY, VOID or NUMBER; null where the path is missing."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.startswith("OBJECT"), "OBJECT").when(name.startswith("ARRAY"), "ARRAY")
-        .when(name.isin("STRING", "BOOLEAN", "VOID"), name).when(name.isNotNull(), "NUMBER")
-    )
+@dataclass(frozen=True)
+class Value:
+    """A variant column and its kind: STRING, BOOLEAN, OBJECT, ARRAY, VOID or NUMBER;
+    null where the path is missing."""
 
+    value: Column
+    kind: Column
 
-def text(value: Column) -> Column:
-    """A scalar as text; null for a JSON null, an object or an array."""
-    return F.when(kind(value).isin("STRING", "BOOLEAN", "NUMBER"), F.try_variant_get(value, "$", "string"))
+    def text(self) -> Column:
+        """A scalar as text; null for a JSON null, an object or an array."""
+        return F.when(self.kind.isin("STRING", "BOOLEAN", "NUMBER"), F.try_variant_get(self.value, "$", "string"))
 
+    def number(self) -> Column:
+        return F.when(self.kind.isin("STRING", "NUMBER"), F.try_variant_get(self.value, "$", "double"))
 
-def truthy(value: Column) -> Column:
-    """Not null, false, 0, '', {} or []; the text '0' is true."""
-    k, body = kind(value), F.to_json(value)
-    return F.coalesce(
-        F.when(k == "STRING", F.try_variant_get(value, "$", "string") != "")
-        .when(k == "NUMBER", F.try_variant_get(value, "$", "double") != 0)
-        .when(k == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(k == "OBJECT", body != "{}").when(k == "ARRAY", body != "[]"),
-        F.lit(False),
-    )
+    def truthy(self) -> Column:
+        """Not null, false, 0, '', {} or []; the text '0' is true."""
+        return F.coalesce(
+            F.when(self.kind == "STRING", F.try_variant_get(self.value, "$", "string") != "")
+            .when(self.kind == "NUMBER", F.try_variant_get(self.value, "$", "double") != 0)
+            .when(self.kind == "BOOLEAN", F.try_variant_get(self.value, "$", "boolean"))
+            .when(self.kind.isin("OBJECT", "ARRAY"), ~F.to_json(self.value).isin("{}", "[]")),
+            F.lit(False),
+        )
 
+    def present(self) -> Column:
+        """Neither missing nor a JSON null."""
+        return F.coalesce(self.kind != "VOID", F.lit(False))
 
-def present(value: Column) -> Column:
-    """Neither missing nor a JSON null."""
-    return F.coalesce(kind(value) != "VOID", F.lit(False))
 
+def with_values(rows: DataFrame, item: str, paths: dict[str, str]) -> tuple[DataFrame, dict[str, Value]]:
+    """Adds the values at these paths of a variant column; gives them by name."""
+    rows = rows.withColumns({f"_v_{n}": F.try_variant_get(F.col(item), f"$.{p}", "variant") for n, p in paths.items()})
+    rows = rows.withColumns({f"_s_{n}": F.schema_of_variant(f"_v_{n}") for n in paths})
 
-def path(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "variant")
+    def kind(n: str) -> Column:
+        name = F.col(f"_s_{n}")
+        return F.when(name.isin("STRING", "BOOLEAN", "VOID"), name).when(F.substring(name, 1, 6) == "OBJECT", "OBJECT").when(F.substring(name, 1, 5) == "ARRAY", "ARRAY").when(name.isNotNull(), "NUMBER")
 
+    rows = rows.withColumns({f"_k_{n}": kind(n) for n in paths})
+    return rows, {n: Value(F.col(f"_v_{n}"), F.col(f"_k_{n}")) for n in paths}
 
-def first_truthy(*values: Column) -> Column:
+
+def first_truthy(*values: Value) -> Column:
     """The text of the first true value, else that of the last."""
     *early, last = values
-    chain = text(last)
+    chain = last.text()
     for value in reversed(early):
-        chain = F.when(truthy(value), text(value)).otherwise(chain)
+        chain = F.when(value.truthy(), value.text()).otherwise(chain)
     return chain
 
 
-def first_present(*values: Column) -> Column:
-    """The first value that isn't null, as a variant."""
-    return F.coalesce(*(F.when(present(v), v) for v in values))
+def first_present(values: tuple[Value, ...], of) -> Column:
+    """``of`` the first value that isn't null."""
+    chain = F.lit(None)
+    for value in reversed(values):
+        chain = F.when(value.present(), of(value)).otherwise(chain)
+    return chain
