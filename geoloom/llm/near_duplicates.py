@@ -9,9 +9,10 @@ a reread and no step repeats another:
    pairs are a fixed multiple of the members, however large the bucket;
 4. verified links give components, by alternating star contractions;
 5. a bucket whose other members still lie in several components gets further
-   leaders, twice as many each round, until every two members of different
-   components have been compared.  So no link between two texts of a bucket is
-   lost, and no group is expanded into all its pairs.
+   leaders, four times as many each round, until every two members of different
+   components have been compared, or are told apart by their distances to the
+   bucket's least member: 1 - probability Jaccard is a metric.  So no link between
+   two texts of a bucket is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from .decontaminate import words_of
 from .probminhash import SHINGLE_WORDS, band_keys, probability_jaccard, shingles, signatures
 from .shared import drop_written, short_batches, written
 
-#: 20 bands of 4 registers find a pair of similarity 0.8 but for 3 in 100,000.
-BANDS, ROWS, SIMILARITY = 20, 4, 0.8
+#: 16 bands of 4 registers find a pair of similarity 0.8 but for 2 in 10,000, of 0.85 but for 7 in a million.
+BANDS, ROWS, SIMILARITY = 16, 4, 0.8
 #: Leaders of a bucket in the first round: the least ids of so many parts of it.
 LEADERS = 4
 #: At most so many ids, of eight bytes, are broadcast.
 BROADCAST_IDS = 4_000_000
+#: At most so many rows of a few numbers are broadcast.
+BROADCAST_ROWS = 1_000_000
+#: A bucket of n members gets this many / n leaders at once, if that is more.
+PAIRS_OF_BUCKET = 4_096
 
 
 def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -53,8 +58,8 @@ def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, fp binary, n_shingles long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (hi, lo) of which the texts' exact probability Jaccard is high enough."""
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (hi, lo) with their texts' exact probability Jaccard."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,13 +69,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
             owner, hashes, weights = shingles(list(texts.values()))
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             sets = [(hashes[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            good = [probability_jaccard(sets[place[x]], sets[place[y]]) >= similarity for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("hi"), batch.column("lo")], names=["hi", "lo"]).filter(pa.array(good, pa.bool_()))
+            found = [probability_jaccard(sets[place[x]], sets[place[y]]) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("hi"), batch.column("lo"), pa.array(found, pa.float64())], names=["hi", "lo", "j"])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     sided = pairs.join(texts, pairs["hi"] == texts["id"]).select("hi", "lo", F.col("text").alias("hi_text"))
     sided = sided.join(texts, sided["lo"] == texts["id"]).select("hi", "lo", "hi_text", F.col("text").alias("lo_text"))
-    return sided.mapInArrow(check, "hi long, lo long")
+    return sided.mapInArrow(check, "hi long, lo long, j double")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -79,7 +84,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _without(members: DataFrame, leaders: DataFrame) -> DataFrame:
     gone = leaders.select(F.col("key").alias("_key"), F.col("leader").alias("_leader"))
-    return members.join(gone, (members["key"] == gone["_key"]) & (members["member"] == gone["_leader"]), "left_anti").select("key", "member")
+    few = F.broadcast(gone) if leaders.count() <= BROADCAST_ROWS else gone
+    return members.join(few, (members["key"] == gone["_key"]) & (members["member"] == gone["_leader"]), "left_anti")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,30 +144,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
     reps = written(reps, "representatives")
     members = reps.select(F.col("rep").alias("member"), F.explode("keys").alias("key"))
-    split = F.pmod(F.xxhash64("member"), F.lit(LEADERS)).alias("split")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("member").alias("pivot")).where("n > 1"), "bucket-sizes")
     led = written(members.join(shared, "key"), "buckets")
+    split = F.pmod(F.xxhash64("member"), F.lit(LEADERS)).alias("split")
     leaders = written(led.groupBy("key", split).agg(F.min("member").alias("leader")).select("key", "leader"), "leaders")
     texts = _chosen_texts(docs, led.select(F.col("member").alias("id")).distinct())
-    edges = written(_verified(_pairs(led.join(leaders, "key").where("member != leader")), texts, similarity), "links")
-    labels = components(edges)
-    # From here on ``led`` holds the members that haven't led their bucket.
-    led, n_leaders = _without(led, leaders), LEADERS
+    compared = written(_compared(_pairs(led.join(_small(leaders), "key").where("member != leader")), texts), "compared")
+    links = compared.where(F.col("j") >= similarity).select("hi", "lo")
+    labels = components(links)
+    # Each member of a bucket was compared with its least one, the pivot, which thus has a distance to all.
+    to_pivot = compared.select(F.col("hi").alias("member"), F.col("lo").alias("pivot"), (1 - F.col("j")).alias("far"))
+    led = led.join(_small(to_pivot), ["member", "pivot"], "left").select("key", "member", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
+    led = _without(led, leaders)
+    n_leaders = 4 * LEADERS
     while True:
-        labelled = led.join(labels, led["member"] == labels["node"], "left").select("key", "member", F.coalesce("label", "member").alias("label"))
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-        still = written(labelled.join(open_keys, "key", "left_semi"), "open-buckets")
-        if still.isEmpty():
+        labelled = led.join(_small(labels), led["member"] == labels["node"], "left").select(*led.columns, F.coalesce("label", "member").alias("label"))
+        open_keys = written(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "open-keys")
+        if open_keys.isEmpty():
             break
-        first = still.groupBy("key", "label").agg(F.min("member").alias("leader"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("leader"))
-        chosen = written(first.withColumn("rank", rank).where(F.col("rank") <= n_leaders).select("key", "leader", F.col("label").alias("leader_label")), "leaders")
-        more = written(_verified(_pairs(still.join(chosen, "key").where("label != leader_label")), texts, similarity), "links")
-        led = _without(still, chosen)
-        edges = edges.unionByName(more)
+        still = written(labelled.join(_small(open_keys), "key", "left_semi"), "open-buckets")
+        first = still.groupBy("key", "label").agg(F.min_by(F.struct("member", "far", "n"), "member").alias("l")).select("key", "label", "l.*")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("member"))
+        most = F.greatest(F.lit(n_leaders), F.expr(f"{PAIRS_OF_BUCKET} div n"))
+        chosen = first.withColumn("rank", rank).where(F.col("rank") <= most).select("key", F.col("member").alias("leader"), F.col("label").alias("leader_label"), F.col("far").alias("leader_far"))
+        chosen = written(chosen, "leaders")
+        # Distances are a metric: what differs in its distance to the pivot by more can't be close enough.
+        near = F.abs(F.col("far") - F.col("leader_far")) <= 1 - similarity + 1e-9
+        pairs = still.join(_small(chosen), "key").where((F.col("label") != F.col("leader_label")) & near)
+        more = written(_compared(_pairs(pairs), texts).where(F.col("j") >= similarity).select("hi", "lo"), "links")
+        led = _without(still.select("key", "member", "n", "far"), chosen)
         if not more.isEmpty():
-            labels = components(edges)
-        n_leaders *= 2
+            links = links.unionByName(more)
+            labels = components(links)
+        n_leaders *= 4
     named = full.select("doc_id", "fp").join(reps.select("fp", "rep"), "fp")
     named = named.join(labels, named["rep"] == labels["node"], "left").select("doc_id", F.col("rep").alias("rep_id"), F.coalesce("label", "rep").alias("class_id"))
     return named.unionByName(table.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id")))

@@ -1,0 +1,136 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from geoloom.llm import decontaminate, pii, quality
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+
+def counts_of(text):
+    words = WORDS.findall(text or "")
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    n = Counter(windows)
+    repeated = {k + j for k, w in enumerate(windows) if n[w] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated))
+
+
+ODD = ["", None, " \n\t ", "a b c a b c", "a a a a a", "x\ny\nx\n \ny", "é\u3000ñ 日本 𝒳 #*$ <a|b>", "one\x0btwo\x0cthree\r\nfour", "the " * 60, "\n" * 5, "a b a b a b a", " lead and trail "]
+
+
+def test_quality_counts(spark, docs, sf_dir):
+    table = docs(ODD, quality="clash").select("doc_id", "text", "quality").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "'q' as quality"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    rows = quality.digest(quality.judged(table)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = counts_of(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, texts[r.doc_id]
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_quality_keeps_prose_and_drops_junk(spark, docs):
+    rng = random.Random(1)
+    prose = " ".join(rng.choice(["the", "of", "and", "river", "stone", "walked", "slowly", "in", "house", "light"]) + ("." if k % 12 == 11 else "") for k in range(300))
+    junk = prose.replace(" ", "### ")
+    table = "\n".join(" | ".join(rng.choice(["alpha", "beta", "gamma", "delta", "sigma"]) + str(rng.randrange(99)) for _ in range(8)) for _ in range(20))
+    lines = "\n".join(["one line that comes back again and again here in the text"] * 12 + [f"line {k} of the text and more in it" for k in range(8)])
+    rows = quality.judged(docs([prose, junk, table, lines, prose])).orderBy("doc_id").collect()
+    assert [r.quality.kept for r in rows] == [True, False, False, False, True]
+    assert quality.kept_documents(docs([prose, junk], quality=1)).columns[-1] == "quality"
+
+
+def test_quality_needs_no_python(spark, docs):
+    plan = quality.judged(docs(["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def hits(text, items):
+    words = decontaminate.words_of(text)
+    hit, found = set(), set()
+    for item_id, item in items:
+        for window in decontaminate.windows_of(item):
+            w = window.split()
+            for k in range(len(words) - len(w) + 1):
+                if words[k : k + len(w)] == w:
+                    hit |= set(range(k, k + len(w)))
+                    found.add(str(item_id))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 60])
+def test_contamination_equals_brute_force(spark, docs, automaton_bytes):
+    rng = random.Random(4)
+    vocabulary = ["a", "ab", "b", "é", "c1", "zz"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 60))) for _ in range(40)] + [None, "", "!?", "A-B,c1 É", "ab " * 40, "x" * 5000]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 14)))) for k in range(12)] + [(50, None), (51, "..."), (52, "ab " * 12), (53, "ab " * 12), (100, "C1 é"), (None, "a b")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    table = docs(texts, contamination="clash").union(docs(texts[:3], contamination="clash"))
+    rows = decontaminate.find_contamination(table, frame, automaton_bytes=automaton_bytes).collect()
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        c = r.contamination
+        assert (c.n_words, c.n_hit, c["items"]) == hits(r.text, [x for x in items if x[0] is not None]), r.text
+        assert [decontaminate.words_of(r.text[s.start : s.end]) for s in c.hit_spans] == [decontaminate.words_of(r.text)[s.start : s.end] for s in c.hit_words]
+    flat = decontaminate.digest(spark.createDataFrame(rows)).where("doc_id = 44").first()
+    assert flat.contaminated and flat.items_sha256 == hashlib.sha256(",".join(hits("ab " * 40, [x for x in items if x[0] is not None])[2]).encode()).hexdigest()
+    kept = decontaminate.decontaminated(table, frame, 10)
+    assert kept.columns == table.columns and {r.text for r in kept.collect()} == {r.text for r in rows if not r.contamination.n_hit}
+
+
+def test_no_benchmark_hits_nothing(spark, docs):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.digest(decontaminate.find_contamination(docs(["a b"]), empty)).first().n_hit == 0
+    assert decontaminate.find_contamination(docs(["a"]).limit(0), empty).count() == 0
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, low, high in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if low <= len(digits) <= high and (kind == 3 or luhn(digits)):
+                out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_personal_data(spark, docs, sf_dir):
+    rng = random.Random(8)
+    made = ["".join(rng.choice("a1.@+ -()é9%_4") for _ in range(rng.randrange(80))) for _ in range(300)]
+    fixed = ["a@b.c%d@e.f a.b@c-d.e.f.", "1.2.3.4.5.6.7.8 999.1.1.1 1.2..3.4.5.6 0255.1.1.1", "4111 1111 1111 1111 x 4111111111111111", "𝒳 a@b.cd +49 30 1234 5678", "", None, "a." * 3000 + "@" + "b." * 3000 + "c", "9" * 20000, "password=secret99x call (212) 555 7890 ssn 123-45-6789 joe (at) mail (dot) com"]
+    real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts = made + fixed + real + fixed[:2]
+    rows = pii.digest(pii.found(docs(texts, base="clash", added="clash", found="clash"))).orderBy("doc_id").collect()
+    assert len(rows) == len(texts)
+    for r, text in zip(rows, texts, strict=True):
+        want = base(text or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), text
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+    assert rows[len(made) + 8].spans == "credential:0:18,local_phone:24:38,national_id:43:54,hidden_email:55:78"
+    assert pii.found(docs(["a"]).limit(0)).count() == 0
+
+
+def test_reliabilities_favour_agreement(spark):
+    patterns = spark.createDataFrame([([2, 2, 2], 50), ([0, 0, 0], 50), ([2, 1, 2], 20), ([0, 1, 2], 20), ([0, 2, 0], 3)], "votes array<int>, n long")
+    r = pii.reliabilities(patterns).first().r
+    assert 0.3 < r[0] < 0.7 and r[3] > 0.8 and r[10] > 0.8  # the shape labeler says yes to true spans and no to false ones
+    trust = patterns.select(F.col("votes"), pii._trust(F.col("votes"), F.array(*(F.lit(x) for x in r))).alias("t")).collect()
+    assert {tuple(x.votes): x.t > 0.5 for x in trust}[2, 2, 2] and not {tuple(x.votes): x.t > 0.5 for x in trust}[0, 0, 0]
