@@ -219,7 +219,12 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _is(kind: int):
+    return lambda x: x == kind
+
+
 def digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
     every = F.sort_array(F.concat("base", "added"))
     return spans.select(key, *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
