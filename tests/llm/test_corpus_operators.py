@@ -120,10 +120,11 @@ def test_store(spark, docs, tmp_path):
     table = docs([prose(rng, 300) for _ in range(400)] + [None, "", None, "x" * 200_000], shard="clash")
     store = sharding.Store(spark, f"file://{tmp_path}/s", sharding.Policy(target=150_000, arrival_rows=20))
     assert store.append(table.where("doc_id < 200")) == 1 and store.append(table.where("doc_id >= 200")) == 2
-    small = store.shards().count()
-    assert store.compact() == 3 and store.shards().count() < small and store.read().exceptAll(table).isEmpty() and table.exceptAll(store.read()).isEmpty()
+    small = {r.shard for r in store.shards().collect()}
+    assert store.compact() == 3 and store.shards().count() < len(small) and store.read().exceptAll(table).isEmpty() and table.exceptAll(store.read()).isEmpty()
     assert store.read(1).count() == 200 and store.compact() == 3
-    assert store.vacuum() == small and store.read(shard_as="shard").select("shard").distinct().count() == store.shards().count()
+    merged = small - {r.shard for r in store.shards().collect()}
+    assert store.vacuum() == len(merged) > 10 and store.read(shard_as="shard").select("shard").distinct().count() == store.shards().count()
     other = sharding.Store(spark, f"file://{tmp_path}/s")
     with pytest.raises(sharding.CommitConflict):
         other._commit(2, other.shards(), [x for x in {r.shard.rpartition("/")[0] for r in other.shards().collect()}], other.manifest()["schema"])
@@ -170,7 +171,7 @@ def test_url_model_equals_brute_force(spark):
                     follow[g[3]] += n
             total = sum(follow.values())
             if total:
-                p = (follow[own[-1]] + len(follow) * p) / (total + len(follow))
+                p = (follow.get(own[-1], 0) + len(follow) * p) / (total + len(follow))
         return p
 
     for gram in {g for u, _ in urls for g in gram_windows(u)} | {(1, 2, 3, 4), (0, 0, 0, 0)}:
