@@ -30,51 +30,43 @@ def neighbour_pairs(points: DataFrame, radius_m: float = 7.0, reach: int = 1, or
     return near.join(around, ["cx", "cy"]).where("src < dst").withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select("src", "dst", "distance_m")
 
 
-def deduplicate(points: DataFrame, radius_m: float = 7.0, max_per_cluster: int = 2, exact_radius: bool = False, order: str = "ord", most_rounds: int = 200) -> DataFrame:
+def deduplicate(points: DataFrame, radius_m: float = 7.0, max_per_cluster: int = 2, exact_radius: bool = False, order: str = "ord") -> DataFrame:
     """Keeps a point if fewer than ``max_per_cluster`` kept points before it are neighbours.
 
     This is what a loop in ``order`` (a total one) would keep.  Each round decides
     the points whose undecided earlier neighbours can't matter any more: with
     enough kept ones a point goes, with too few left it stays.  Decisions are
     final, and the first undecided point can always be decided, so the rounds end
-    at the loop's result.  Pairs lose their decided points as rounds go on.  Each
+    at the loop's result, after as many rounds as the longest chain of points that
+    wait for one another.  Pairs lose their decided points as rounds go on.  Each
     round is a table in the checkpoint folder, so a lost executor costs a reread.
     """
     if max_per_cluster < 1:
         raise ValueError("max_per_cluster must be 1 or more")
     if radius_m <= 0:
         return points
-    # Keys of ``max_per_cluster`` equal points in one cell block need no special case: pairs carry them all.
     open_pairs = _saved(neighbour_pairs(points, radius_m, 2 if exact_radius else 1, order).select("src", "dst"))
     gone = None
-    rounds = 0
-    # ``kept``: points known to stay that still stand in pairs.  A point without earlier neighbours stays.
-    counted = open_pairs.select("dst").distinct()
-    state = _saved(open_pairs.join(counted.withColumnRenamed("dst", "src"), "src", "left_anti").select(F.col("src").alias("point")).distinct())
-    settled = state
-    need = open_pairs.groupBy("dst").agg(F.lit(0).cast("long").alias("have"))
-    need = _saved(need)
-    while rounds < most_rounds:
-        rounds += 1
+    # ``kept`` are the points that the last round let stay; at first those without earlier neighbours.
+    waiting_points = open_pairs.select(F.col("dst").alias("src")).distinct()
+    kept = _saved(open_pairs.join(waiting_points, "src", "left_anti").select("src").distinct())
+    need = _saved(open_pairs.groupBy("dst").agg(F.lit(0).cast("long").alias("have")))
+    while True:
         # What the newly kept points mean for those after them.
-        news = open_pairs.join(state.withColumnRenamed("point", "src"), "src").groupBy("dst").agg(F.count("*").alias("more"))
-        rest = open_pairs.join(state.withColumnRenamed("point", "src"), "src", "left_anti")
+        news = open_pairs.join(kept, "src").groupBy("dst").agg(F.count("*").alias("more"))
+        rest = open_pairs.join(kept, "src", "left_anti")
         waiting = rest.groupBy("dst").agg(F.count("*").alias("open"))
         score = need.join(news, "dst", "left").join(waiting, "dst", "left").select("dst", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"), F.coalesce("open", F.lit(0)).alias("open"))
         score = _saved(score)
-        rejected = score.where(F.col("have") >= max_per_cluster).select(F.col("dst").alias("point"))
-        accepted = score.where((F.col("have") < max_per_cluster) & (F.col("have") + F.col("open") < max_per_cluster)).select(F.col("dst").alias("point"))
+        rejected = score.where(F.col("have") >= max_per_cluster).select(F.col("dst").alias("src"))
+        kept = score.where((F.col("have") < max_per_cluster) & (F.col("have") + F.col("open") < max_per_cluster)).select(F.col("dst").alias("src"))
         gone = rejected if gone is None else gone.unionByName(rejected)
         need = score.where((F.col("have") < max_per_cluster) & (F.col("have") + F.col("open") >= max_per_cluster)).select("dst", "have")
         if need.isEmpty():
             break
         # Rejected points never count; decided ones need no pairs of their own.
-        open_pairs = _saved(rest.join(need.select("dst"), "dst", "left_semi").join(rejected.withColumnRenamed("point", "src"), "src", "left_anti").select("src", "dst"))
-        state = accepted
-    else:
-        raise RuntimeError(f"undecided points remain after {most_rounds} rounds")
-    del settled
-    return points.join(gone.withColumnRenamed("point", order), order, "left_anti").select(*points.columns)
+        open_pairs = _saved(rest.join(need.select("dst"), "dst", "left_semi").join(rejected, "src", "left_anti").select("src", "dst"))
+    return points.join(gone.withColumnRenamed("src", order), order, "left_anti").select(*points.columns)
 
 
 def _saved(df: DataFrame) -> DataFrame:
