@@ -25,6 +25,8 @@ WORDS, CONTEXTS = 8_192, 256
 #: Distinct words that a task gathers before it passes their counts on.
 GATHERED = 300_000
 SMOOTHING = 4.0
+#: At most so many ids of target documents, of eight bytes, are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 8_000_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -121,8 +123,9 @@ def scored(docs: DataFrame, target: DataFrame, words: int = WORDS, contexts: int
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct()
-    marked = texts.join(chosen, texts["doc_id"] == chosen["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
+    chosen = written(target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct(), "lm-target")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    marked = texts.join(few, texts["doc_id"] == chosen["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
     tables, near, far = trained(texts, marked, words, contexts, smoothing)
     model = spark.sparkContext.broadcast((tables, near.ravel(), far.ravel()))
 
