@@ -126,7 +126,9 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     replaced, every other column stays as it is.
     """
     m, q = F.col(into), F.col(into)
-    found = docs.drop(*([into] if into != text else [])).withColumn(into, measures(text))
+    others = [F.col(f"`{x}`") for x in docs.columns if x != into]
+    # A generator, so that a filter on the verdict doesn't copy the measures into itself.
+    found = docs.select(*others, F.explode(F.array(measures(text))).alias(into))
     failed = F.array_compact(F.array(*(F.when(~r.passes(m), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
     return found.withColumn(into, q.withField("base_failed", base_failed(m)).withField("failed", failed)).withColumn(into, q.withField("kept", ~q["base_failed"] & (F.size(q["failed"]) == 0)))
 
