@@ -32,12 +32,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
-def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers, shingle hashes and weights, ordered by text and hash.
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers and hashes of all words, in their order.
 
     Words are runs of 0-9, a-z and everything from U+0080 on, after A-Z are
-    lowered.  A weight is how often a text has the shingle.  A text of fewer
-    words, but not none, has one shingle of all its words; a null has none.
+    lowered; a null text has none.
     """
     folded = [x.encode().translate(FOLD) + b" " if x else b" " for x in texts]
     sizes = np.fromiter(map(len, folded), dtype=np.int64, count=len(folded))
@@ -47,14 +46,24 @@ def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.nda
     begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(data.astype(U64) * _powers(BASE, len(data)), dtype=U64)])
     hashes = mixed((sums[ends] - sums[begins]) * _powers(UNDO, len(data))[begins] + (ends - begins).astype(U64)) if len(begins) else np.zeros(0, dtype=U64)
-    text_of = np.searchsorted(np.cumsum(sizes), begins, side="right")
+    return np.searchsorted(np.cumsum(sizes), begins, side="right"), hashes
+
+
+def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, shingle hashes and weights, ordered by text and hash.
+
+    Words are runs of 0-9, a-z and everything from U+0080 on, after A-Z are
+    lowered.  A weight is how often a text has the shingle.  A text of fewer
+    words, but not none, has one shingle of all its words; a null has none.
+    """
+    text_of, hashes = hashed_words(texts)
     n_words = np.bincount(text_of, minlength=len(texts))
-    place = np.arange(len(begins)) - (np.cumsum(n_words) - n_words)[text_of]
+    place = np.arange(len(hashes)) - (np.cumsum(n_words) - n_words)[text_of]
     left = n_words[text_of] - place
-    total = np.zeros(len(begins), dtype=U64)
+    total = np.zeros(len(hashes), dtype=U64)
     for k in range(size):
-        part = np.zeros(len(begins), dtype=U64)
-        part[: len(begins) - k] = hashes[k:] if k else hashes
+        part = np.zeros(len(hashes), dtype=U64)
+        part[: len(hashes) - k] = hashes[k:] if k else hashes
         part[left <= k] = 0
         total = (total ^ part) * U64(0xD6E8FEB86659FD93)
         total ^= total >> U64(29)

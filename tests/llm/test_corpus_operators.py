@@ -238,3 +238,29 @@ def test_pipeline(spark, sf_dir):
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(x[2:].split("_")[0]) for x in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_every_word_and_context_is_modelled(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 5_000)
+    rng = random.Random(8)
+    texts = [" ".join(f"v{min(int(rng.paretovariate(0.4)), 20_000)}" for _ in range(300)) for _ in range(100)] + [" ".join(f"u{100 * k + j}" for j in range(100)) for k in range(90)] + [None, ""]
+    counts = [Counter(), Counter()]
+    starts = lambda t: list(zip([None, *words_of(t)[:-1]], words_of(t), strict=True)) if words_of(t) else []
+    for k, t in enumerate(texts):
+        counts[k >= 40].update(starts(t))
+    words = {w for c in counts for _, w in c}
+    assert len(words) > 8_192
+    want = []
+    for c in counts:
+        unigram, total = Counter(), Counter()
+        for (before, w), n in c.items():
+            unigram[w] += n
+            total[before] += n
+        whole = sum(unigram.values()) + len(words) + 1
+        want.append([np.mean([-math.log((c[x] + 4 * (unigram[x[1]] + 1) / whole) / (total[x[0]] + 4)) for x in starts(t)]) if starts(t) else None for t in texts])
+    target = spark.createDataFrame([(k,) for k in range(40)], "doc_id long")
+    for r in lm_scoring.scored(docs(texts), target).collect():
+        if r.n_tokens:
+            assert (r.target_loss, r.background_loss) == pytest.approx((want[0][r.doc_id], want[1][r.doc_id]), abs=1e-9)
+        else:
+            assert r.target_loss is None and want[0][r.doc_id] is None
