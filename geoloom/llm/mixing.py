@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,10 @@ from .shared import drop_written, written
 
 ROUNDS_PER_STEP = 4
 MISSING = "unknown"
+TOLERANCE = 1e-4
+#: Raking ends where no error within the tolerance can be reached: a step changes the error by less than this.
+AT_REST = 1e-6
+log = logging.getLogger(__name__)
 
 
 def topic_of(text: Column | str = "text") -> Column:
@@ -31,15 +36,16 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, F.col("raw").alias("share"))
 
 
-def raked(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-4, most_rounds: int = 60) -> tuple[DataFrame, int, float]:
-    """``cells`` (dimensions, tokens) with ``weight``, whose shares meet the targets.
+def raked(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE, most_rounds: int = 400) -> tuple[DataFrame, int, float]:
+    """``cells`` (dimensions, tokens) with ``weight``, whose shares meet the targets, and a goal in tokens for each dimension.
 
     ``targets`` maps a dimension to a table (dimension, share).  Shares are
     normalised over the values that have tokens, since no weight can be given to
     others; values without a target get weight 0.  Each round scales the weights
     to one marginal after the other.  Every few rounds the cells are written to
     the shared folder, which cuts the lineage, and the largest error is read; the
-    rounds end when it is within the tolerance.  Returns rounds and error, too.
+    rounds end when it is within the tolerance, or comes to rest above it: then no
+    weights meet all targets.  Returns rounds and error, too, which callers check.
     """
     dims = list(targets)
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -49,9 +55,9 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         goal = present.select(F.col(dim).alias("_value"), (F.col("share") / present.agg(F.sum("share")).scalar() * amount).alias(f"_goal_{dim}"))
         state = state.join(goal, state[dim] == goal["_value"], "left").drop("_value").fillna(0.0, [f"_goal_{dim}"])
     state = written(state, "rake-cells")
-    rounds, error = 0, float("inf")
-    while rounds < most_rounds and error > tolerance:
-        old, errors = state, []
+    rounds, error, last = 0, float("inf"), None
+    while rounds < most_rounds and error > tolerance and (last is None or abs(last - error) > AT_REST):
+        old, errors, last = state, [], error
         for _ in range(ROUNDS_PER_STEP):
             for dim in dims:
                 state = state.withColumn("weight", _share(dim) * F.col("weight"))
@@ -63,7 +69,7 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         error = float(checked.agg(F.greatest(*errors, F.lit(0.0))).first()[0] or 0.0)
         state = checked.drop(*(f"_off_{x}" for x in dims))
         drop_written(old)
-    return state.drop(*(f"_goal_{x}" for x in dims)), rounds, error
+    return state, rounds, error
 
 
 def _share(dim: str) -> Column:
@@ -72,15 +78,21 @@ def _share(dim: str) -> Column:
     return F.when(have > 0, F.col(f"_goal_{dim}") / have).otherwise(F.lit(0.0))
 
 
-def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float] | float], key: str = "doc_id", budget_tokens: float | None = None, seed: int = 17, into: str = "mix") -> DataFrame:
-    """``docs`` and a struct ``into``: the dimensions, tokens, weight, probability, sampled.
+def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, Mapping[str, float] | float], key: str = "doc_id", budget_tokens: float | None = None, seed: int = 17, into: str = "mix", budget_share: float | None = None) -> DataFrame:
+    """``docs`` and a struct ``into``: the dimensions, tokens, weight, probability, sampled, unmet.
 
     ``targets`` gives for each dimension either shares by value, or a power to
     which its token shares are raised.  The weight of a cell is its raked tokens
     over its tokens.  Probabilities are weights scaled so that the expected
-    tokens are ``budget_tokens``, but never over 1; without a budget the largest
-    probability is 1.  Where scaling reaches 1 the budget isn't met; raking is
-    kept instead of clipping, so all marginals hold in expectation.  A document
+    tokens are ``budget_tokens``, or ``budget_share`` of all tokens.  A document
+    can be sampled but once: cells whose probability would exceed 1 are kept whole,
+    and the rest of the budget falls to the others by their weights.  Without a
+    budget the largest probability is 1, so that no cell is cut.
+
+    ``unmet`` is how far the expected sample's share of one of the document's values
+    is from its target, relative to that, at most: because no weights meet all
+    targets, or because cells are kept whole.  What exceeds the tolerance of the
+    raking is logged as a warning, too.  A document
     is sampled if a hash of its key and the seed falls below its probability: the
     same document always falls alike, whatever the partitions or lost executors.
 
@@ -94,13 +106,20 @@ def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets:
     marked = base.withColumn(into, F.struct(*(columns[x].alias(x) for x in names), tokens.alias("tokens")))
     cells = written(marked.select(f"{into}.*").groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     goals = {x: tempered(cells, x, float(t)) if isinstance(t, int | float) else docs.sparkSession.createDataFrame(list(t.items()), f"{x} string, share double") for x, t in targets.items()}
-    weighted, _, _ = raked(cells, goals)
-    ratio = weighted.select(*names, (F.col("weight") / F.col("tokens")).alias("weight"))
-    top = weighted.agg(F.max(F.col("weight") / F.col("tokens"))).scalar()
-    scale = F.lit(1.0) / top
-    if budget_tokens is not None:
-        scale = F.least(scale, F.lit(float(budget_tokens)) / weighted.agg(F.sum("weight")).scalar())
-    ratio = ratio.select(*(F.col(x).alias(f"_{into}_{x}") for x in names), F.col("weight").alias(f"_{into}_w"), F.coalesce(F.least(F.lit(1.0), F.col("weight") * scale), F.lit(0.0)).alias(f"_{into}_p"))
+    weighted, rounds, error = raked(cells, goals)
+    rate = F.col("weight") / F.col("tokens")
+    if budget_share is not None:
+        budget_tokens = budget_share * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    scale = _scale(weighted, budget_tokens)
+    ratio = weighted.withColumn("p", F.coalesce(F.least(F.lit(1.0), rate * scale), F.lit(0.0)))
+    expected, goal = F.col("tokens") * F.col("p"), lambda x: F.col(f"_goal_{x}")
+    whole, amount = ratio.agg(F.sum(expected), F.sum(F.col("tokens").cast("double"))).first()
+    off = [F.when(goal(x) > 0, F.abs(F.sum(expected).over(Window.partitionBy(x)) / F.lit(whole or 1.0) / (goal(x) / F.lit(amount or 1.0)) - 1)).otherwise(0.0) for x in names]
+    ratio = written(ratio.withColumn("unmet", F.greatest(*off, F.lit(0.0))), "mix-ratios")
+    far = ratio.where(F.col("unmet") > TOLERANCE).orderBy(F.desc("unmet")).limit(10).collect()
+    if far:
+        log.warning("targets unmet after %d rounds (error %.3g); the furthest cells: %s", rounds, error, ", ".join(f"{tuple(r[x] for x in names)} by {r.unmet:.3g}" for r in far))
+    ratio = ratio.select(*(F.col(x).alias(f"_{into}_{x}") for x in names), rate.alias(f"_{into}_w"), F.col("p").alias(f"_{into}_p"), F.col("unmet").alias(f"_{into}_unmet"))
     same = None
     for x in names:
         one = F.col(into)[x] == F.col(f"_{into}_{x}")
@@ -108,7 +127,30 @@ def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets:
     draw = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
     out = marked.join(_small(ratio), same)
     p = F.col(f"_{into}_p")
-    return out.withColumn(into, F.col(into).withField("weight", F.col(f"_{into}_w")).withField("probability", p).withField("sampled", draw < p)).drop(*(f"_{into}_{x}" for x in (*names, "w", "p")))
+    return out.withColumn(into, F.col(into).withField("weight", F.col(f"_{into}_w")).withField("probability", p).withField("sampled", draw < p).withField("unmet", F.col(f"_{into}_unmet"))).drop(*(f"_{into}_{x}" for x in (*names, "w", "p", "unmet")))
+
+
+def _scale(weighted: DataFrame, budget: float | None) -> float:
+    """What turns weights over tokens into probabilities; above 1 they count as 1.
+
+    With a budget each round takes out the cells that reach 1; the scale grows, so
+    the rounds end when no further cell does.
+    """
+    rate, tokens = F.col("weight") / F.col("tokens"), F.col("tokens").cast("double")
+    least, top, most = weighted.where("weight > 0").agg(F.min(rate), F.max(rate), F.sum(tokens)).first()
+    if top is None:
+        return 0.0
+    if budget is None:
+        return 1 / top
+    if budget >= most:
+        return (1 + 1e-9) / least
+    scale, whole = 0.0, None
+    while True:
+        full = rate * scale >= 1
+        n, taken, left = weighted.where("weight > 0").agg(F.count_if(full), F.sum(F.when(full, tokens).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if n == whole or not left:
+            return scale
+        scale, whole = (budget - taken) / left, n
 
 
 #: Cells up to this many rows are broadcast: some hundred bytes each.
@@ -123,10 +165,12 @@ def _small(cells: DataFrame) -> DataFrame:
 PRODUCTION_DIMS = ("source", "lang", "topic")
 #: Powers below 1: large sources, languages and topics give way to small ones.
 PRODUCTION_TARGETS = {"source": 0.8, "lang": 0.8, "topic": 0.95}
+#: The expected sample's part of all tokens.
+PRODUCTION_BUDGET = 0.5
 
 
 def production_mix(docs: DataFrame, into: str = "mix") -> DataFrame:
-    return mixed(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of()}, n_words(), PRODUCTION_TARGETS, into=into)
+    return mixed(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of()}, n_words(), PRODUCTION_TARGETS, into=into, budget_share=PRODUCTION_BUDGET)
 
 
 def sampled_documents(docs: DataFrame) -> DataFrame:
@@ -139,4 +183,4 @@ def sampled_documents(docs: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame, of: str = "mix") -> DataFrame:
     x = F.col(of)
-    return found.select("doc_id", *(x[n].alias(n) for n in (*PRODUCTION_DIMS, "tokens", "weight", "probability", "sampled")))
+    return found.select("doc_id", *(x[n].alias(n) for n in (*PRODUCTION_DIMS, "tokens", "weight", "probability", "sampled", "unmet")))

@@ -264,3 +264,15 @@ def test_every_word_and_context_is_modelled(spark, docs, monkeypatch):
             assert (r.target_loss, r.background_loss) == pytest.approx((want[0][r.doc_id], want[1][r.doc_id]), abs=1e-9)
         else:
             assert r.target_loss is None and want[0][r.doc_id] is None
+
+
+def test_unmet_targets_are_told_and_cost_no_budget(spark, docs, caplog):
+    even = docs(["a b c d e"] * 600).withColumns({"source": F.concat(F.lit("s"), F.col("doc_id") % 3), "lang": F.when(F.col("doc_id") % 5 == 0, "de").otherwise("en")})
+    lost = docs(["w " * 50]).withColumns({"doc_id": F.lit(9_999).cast("long"), "source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    rows = mixing.digest(mixing.production_mix(even.unionByName(lost))).collect()
+    assert sum(r.tokens * r.probability for r in rows) == pytest.approx(mixing.PRODUCTION_BUDGET * 3050)
+    unmet = {r.doc_id: r.unmet for r in rows}
+    assert unmet[9_999] > 0.1 and "unmet" in caplog.text and "unknown" in caplog.text
+    caplog.clear()
+    rows = mixing.digest(mixing.production_mix(even)).collect()
+    assert max(r.unmet for r in rows) < 1e-3 and "unmet" not in caplog.text
