@@ -276,3 +276,8 @@ def test_unmet_targets_are_told_and_cost_no_budget(spark, docs, caplog):
     caplog.clear()
     rows = mixing.digest(mixing.production_mix(even)).collect()
     assert max(r.unmet for r in rows) < 1e-3 and "unmet" not in caplog.text
+
+
+def test_bands_miss_few_pairs():
+    missed = (1 - near_duplicates.SIMILARITY**near_duplicates.ROWS) ** near_duplicates.BANDS
+    assert missed < 3e-5
