@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import _saved
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -18,11 +22,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest by dot product, itself left out.
 
     ``queries`` is a stated set and meets all vectors; ties go to the lesser id.
+    More than ``BROADCAST_QUERIES`` are dealt by a hash of their ids into blocks of
+    about that many; each is broadcast in turn and its result joins the others'.
     Each block of vectors keeps its own best k first, so that what is shuffled
     grows with queries and blocks, not with pairs.
     """
-    if queries.count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries: run them in blocks")
+    n_blocks = -(-queries.count() // BROADCAST_QUERIES)
+    if n_blocks > 1:
+        block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
+        return reduce(DataFrame.unionByName, [_saved(_top_k(queries.where(block == b), vectors, k)) for b in range(n_blocks)])
+    return _top_k(queries, vectors, k)
+
+
+def _top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")))
     near = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("_q"), F.col("embedding")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))

@@ -41,3 +41,10 @@ def test_command_defaults():
     assert (a.dedup_radius_m, a.max_per_cluster) == (7.0, 2)
     a = parser().parse_args(["ingest-flat", "--store", "s"])
     assert (a.limit_per_tile, a.request_retries, a.max_pages_per_tile) == (1000, 5, 200)
+
+
+def test_many_queries_run_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5)]) for k in range(40)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, retrieval.top_k(v, v, 3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 9)
+    assert sorted(map(tuple, retrieval.top_k(v, v, 3).collect())) == whole and len(whole) == 120
