@@ -59,7 +59,7 @@ class Scanner:
         owners: dict[bytes, set[str]] = {}
         for item_id, text in items:
             for window in windows_of(text, size):
-                owners.setdefault(window, set()).add(item_id)
+                owners.setdefault(window, set()).update([] if item_id is None else [item_id])
         self.automaton = ahocorasick.Automaton()
         for window, ids in owners.items():
             self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, sorted(ids)))
@@ -89,10 +89,11 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _item_batches(items: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
+def _item_batches(items: DataFrame, most: int, without_id: bool) -> Iterator[list[tuple[str, str | None]]]:
     """Items in runs of at most ``most`` bytes, streamed to the driver partition by partition."""
     held, size = [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    rows = rows if without_id else rows.where("item_id is not null")
     for row in rows.toLocalIterator():
         held.append((row.item_id, row.text))
         size += len(row.text)
@@ -103,7 +104,7 @@ def _item_batches(items: DataFrame, most: int) -> Iterator[list[tuple[str, str |
         yield held
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES, into: str = "contamination", keep_text: bool = True) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, automaton_bytes: int = AUTOMATON_BYTES, into: str = "contamination", keep_text: bool = True, without_id: bool = False) -> DataFrame:
     """``docs`` and a struct ``into``: n_words, n_hit, items, hit_words, hit_spans.
 
     ``items`` up to ``automaton_bytes`` make one automaton, and texts are scanned
@@ -114,14 +115,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window_words: int = WI
     original text in code points; both ends exclusive.  items are ids as strings,
     sorted as such.
 
-    A null text has no words; so has one of punctuation alone.  Items without an
-    id or a word have no window; equal items count under each id.  Repeated rows
+    A null text has no words; so has one of punctuation alone.  Items without a
+    word have no window; those without an id are scanned if ``without_id``, and then
+    count in n_hit and the spans, but not in items.  Equal items count under each id.  Repeated rows
     each get their own struct.  Without items nothing is hit, and an empty table
     gives an empty result.  A column named ``into`` is replaced; others stay.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    batches = _item_batches(items, automaton_bytes)
+    batches = _item_batches(items, automaton_bytes, without_id)
     state, run = docs.drop(into), next(batches, [])
     for following in batches:
         state, run = written(_scanned(state, run, window_words, into, True), "decontaminate"), following
@@ -150,7 +152,7 @@ def _judge(scanner: Scanner, text: str | None, before: dict | None) -> dict:
         found |= set(before["items"])
         for run in before["hit_words"]:
             hit[run["start"] : run["end"]] = True
-    runs = _runs(hit) if found else []
+    runs = _runs(hit) if hit.any() else []
     at = word_spans(text) if runs else []
     return {"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(found), "hit_words": [{"start": a, "end": b} for a, b in runs], "hit_spans": [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]}
 
@@ -172,9 +174,9 @@ def digest(found: DataFrame, of: str = "contamination") -> DataFrame:
     return found.select("doc_id", x["n_words"].alias("n_words"), x["n_hit"].alias("n_hit"), F.size(x["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", x["items"]), 256).alias("items_sha256"), (x["n_hit"] > 0).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, without_id: bool = False) -> DataFrame:
     """``docs`` without the documents that any window occurs in."""
     into = "contamination"
     while into in docs.columns:
         into += "_"
-    return find_contamination(docs, items, window_words, into=into).where(F.col(into)["n_hit"] == 0).select(docs.columns)
+    return find_contamination(docs, items, window_words, into=into, without_id=without_id).where(F.col(into)["n_hit"] == 0).select(docs.columns)

@@ -53,7 +53,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    return decontaminate.digest(decontaminate.find_contamination(docs, items, keep_text=False))
+    return decontaminate.digest(decontaminate.find_contamination(docs, items, keep_text=False, without_id=True))
 
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoloom.llm import lm_scoring, mixing, near_duplicates, queries, sharding, url_filter
+from geoloom.llm import decontaminate, lm_scoring, mixing, near_duplicates, queries, sharding, url_filter
 from geoloom.llm.decontaminate import words_of
 from geoloom.llm.probminhash import probability_jaccard, shingles, signatures
 
@@ -281,3 +281,11 @@ def test_unmet_targets_are_told_and_cost_no_budget(spark, docs, caplog):
 def test_bands_miss_few_pairs():
     missed = (1 - near_duplicates.SIMILARITY**near_duplicates.ROWS) ** near_duplicates.BANDS
     assert missed < 3e-5
+
+
+def test_items_without_an_id_contaminate(spark, docs):
+    items = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
+    table = docs(["x a b c y", "b c a"])
+    r = {x.doc_id: x.contamination for x in decontaminate.find_contamination(table, items, without_id=True).collect()}
+    assert (r[0].n_hit, r[0]["items"], r[1].n_hit) == (3, [], 0)
+    assert [x.doc_id for x in decontaminate.decontaminated(table, items, without_id=True).collect()] == [1]
