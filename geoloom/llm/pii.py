@@ -29,7 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Shapes of candidates.
-CREDENTIAL = r"""\b(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s"']{4,256}|\bAKIA[0-9A-Z]{16}\b"""
+CREDENTIAL = r"""\b(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s"']{4,}+|\bAKIA[0-9A-Z]{16}\b"""
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 HIDDEN_EMAIL = r"[A-Za-z0-9._%+-]{1,64} ?[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]{1,63}){1,8}"

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoloom.llm import decontaminate, lm_scoring, mixing, near_duplicates, queries, sharding, url_filter
+from geoloom.llm import decontaminate, lm_scoring, mixing, near_duplicates, pii, queries, sharding, url_filter
 from geoloom.llm.decontaminate import words_of
 from geoloom.llm.probminhash import probability_jaccard, shingles, signatures
 
@@ -289,3 +289,9 @@ def test_items_without_an_id_contaminate(spark, docs):
     r = {x.doc_id: x.contamination for x in decontaminate.find_contamination(table, items, without_id=True).collect()}
     assert (r[0].n_hit, r[0]["items"], r[1].n_hit) == (3, [], 0)
     assert [x.doc_id for x in decontaminate.decontaminated(table, items, without_id=True).collect()] == [1]
+
+
+def test_long_credentials_are_whole(spark, docs):
+    secret = "token=" + "x9" * 400
+    found = docs([f"a {secret} b"]).select(F.regexp_extract("text", f"({pii.CREDENTIAL})", 1).alias("v")).first()
+    assert found.v == secret
