@@ -295,3 +295,7 @@ def test_long_credentials_are_whole(spark, docs):
     secret = "token=" + "x9" * 400
     found = docs([f"a {secret} b"]).select(F.regexp_extract("text", f"({pii.CREDENTIAL})", 1).alias("v")).first()
     assert found.v == secret
+
+
+def test_production_targets():
+    assert mixing.PRODUCTION_TARGETS == {"source": 0.7, "lang": 0.7, "topic": 0.9}
