@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import short_batches, written
+from .shared import pieces, written
 
 WINDOW_WORDS = 10
 #: Words are runs of 0-9, a-z and everything from U+0080 on, after A-Z are lowered.
@@ -121,8 +121,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, window_words: int = WI
     each get their own struct.  Without items nothing is hit, and an empty table
     gives an empty result.  A column named ``into`` is replaced; others stay.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
     batches = _item_batches(items, automaton_bytes, without_id)
     state, run = docs.drop(into), next(batches, [])
     for following in batches:
@@ -137,7 +135,7 @@ def _scanned(docs: DataFrame, run: list, window_words: int, into: str, keep_text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(key, items, window_words)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             before = batch.column(into).to_pylist() if into in batch.schema.names else [None] * batch.num_rows
             found = pa.array([_judge(scanner, text.as_py(), x) for text, x in zip(batch.column("text"), before, strict=True)], FOUND)
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in passed] + [found], names=[*passed, into])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .probminhash import U64, hashed_words, mixed
-from .shared import short_batches, written
+from .shared import pieces, written
 
 #: Words of a block; the text that exceeds it is the block's last.
 BLOCK_WORDS = 1 << 22
@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for text in batch.column("text"):
                 held.update(words_of(text.as_py()))
                 if len(held) > GATHERED:
@@ -59,7 +59,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    short_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -117,7 +116,7 @@ def blocks(marked: DataFrame, vocabulary: np.ndarray | None = None, most: int =
             rank[order] = np.arange(len(order), dtype=np.uint32)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([(task << 32) + number, ids, sizes, sides, packed(hashes[order]), packed(rank[at])], BLOCK.types, strict=True)], schema=BLOCK)
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             texts = batch.column("text").to_pylist()
             owner, hashes = hashed_words(texts)
             ids += batch.column("doc_id").to_pylist()
@@ -132,7 +131,6 @@ def blocks(marked: DataFrame, vocabulary: np.ndarray | None = None, most: int =
         if ids:
             yield out()
 
-    short_batches(marked.sparkSession)
     return marked.select("doc_id", "text", "target").mapInArrow(encode, KINDS["block"])
 
 

@@ -63,7 +63,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.nda
     total = np.zeros(len(hashes), dtype=U64)
     for k in range(size):
         part = np.zeros(len(hashes), dtype=U64)
-        part[: len(hashes) - k] = hashes[k:] if k else hashes
+        part[: max(0, len(hashes) - k)] = hashes[k:]
         part[left <= k] = 0
         total = (total ^ part) * U64(0xD6E8FEB86659FD93)
         total ^= total >> U64(29)

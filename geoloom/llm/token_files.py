@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import fresh_folder, short_batches, written
+from .shared import fresh_folder, pieces, written
 from .wavelet import from_bytes, to_bytes
 
 SHARD_TOKENS = 1 << 21
@@ -57,7 +57,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             store.move(begun, name)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": [len(doc_ids)], "n_tokens": [held], "file": [name]})
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             encoded, bounds = tool.encode_many(batch.column("text").to_pylist())
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 ids.append(encoded[bounds[k] : bounds[k + 1]].tobytes() + tail)
@@ -70,7 +70,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if doc_ids:
             yield close()
 
-    short_batches(docs.sparkSession, 1024)
     return ordered.mapInArrow(write, SHARD_SCHEMA)
 
 
@@ -86,7 +85,6 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 spans = zip(starts.tolist(), lengths.tolist(), strict=True)
                 yield pd.DataFrame({"part": part, "shard": shard, "place": np.arange(len(doc_ids)), "doc_id": doc_ids, "offset": starts.astype("int64"), "n_tokens": lengths.astype("int64"), "ids_crc32": [zlib.crc32(ids[a : a + n].tobytes()) for a, n in spans]})
 
-    short_batches(spark, 2)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wm").load(folder)
     return files.select("path", "content").mapInPandas(read, TOKEN_SCHEMA)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .encoding import encoder, resynchronised
-from .shared import short_batches
+from .shared import pieces
 
 ADDED = (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("n_chunks", T.LongType()))
 
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches, at):
             docs = [x or "" for x in batch.column(at).to_pylist()]
             huge = [tool.stable and len(x) > chunk_chars for x in docs]
             n_tokens, n_chunks = [0] * len(docs), [int(bool(x)) for x in docs]
@@ -49,5 +49,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
             added = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(n_chunks, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in passed] + added, names=passed + names)
 
-    short_batches(docs.sparkSession, 1024)
     return rows.mapInArrow(count, schema)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -54,20 +55,14 @@ def test_signatures_estimate_it():
 
 
 def components(texts):
-    sets = [weighted(t) for t in texts]
+    """All pairs are compared; test_exact_similarity holds for the similarity itself."""
+    sets = [shingles([x])[1:] for x in texts]
     label = list(range(len(texts)))
-
-    def top(k):
-        while label[k] != k:
-            k = label[k]
-        return k
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) * 2 > max(len(sets[i]), len(sets[j])) and exact(sets[i], sets[j]) >= 0.8:
-                a, b = sorted((top(i), top(j)))
-                label[b] = a
-    return [top(k) for k in range(len(texts))]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if label[i] != label[j] and probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    return label
 
 
 def test_near_duplicates_equal_brute_force(spark, docs):
@@ -86,6 +81,31 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert near_duplicates.near_duplicates(docs(["a"]).limit(0)).count() == 0
 
 
+def test_a_large_group_keeps_every_link(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT_PAIRS", 16)
+    rng = random.Random(5)
+    base, passage = prose(rng, 130), prose(rng, 60)
+    texts = [edited(rng, base, rng.choice([0.0, 0.01, 0.02, 0.03, 0.04, 0.06])) for _ in range(260)]
+    for _ in range(60):  # chains of edits, and texts that are mostly one common passage
+        texts.append(edited(rng, rng.choice(texts[-20:]), 0.012))
+        texts.append(passage + " " + prose(rng, rng.randrange(30)))
+    texts += rng.choices(texts, k=20) + ["x y " * 4_000, "x y " * 4_001]
+    want = components(texts)
+    rows = near_duplicates.near_duplicates(docs(texts)).collect()
+    assert len(rows) == len(texts) and {r.doc_id: r.class_id for r in rows} == dict(enumerate(want))
+    assert len(set(want)) > 60  # many that link to none stand beside the group
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    text = prose(random.Random(1), 90)
+    rows = [(1, text, 1), (1, text, 2), (2, "z " + text, 1), (2, None, 7), (3, None, 1), (3, None, 1), (None, text, 1), (None, text, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _place int")
+    found = sorted((r.doc_id, r.class_id) for r in near_duplicates.near_duplicates(table).collect())
+    assert found == [(1, 1), (2, 1), (3, 3)]
+    left = near_duplicates.one_of_each(table)
+    assert left.columns == table.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 0, 1, 3]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(60)] + [(101, 100)], "hi long, lo long")
     found = {r.node: r.label for r in near_duplicates.components(edges).collect()}
