@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import _saved
+from ..tables import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,7 +30,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
     n_blocks = -(-queries.count() // BROADCAST_QUERIES)
     if n_blocks > 1:
         block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
-        return reduce(DataFrame.unionByName, [_saved(_top_k(queries.where(block == b), vectors, k)) for b in range(n_blocks)])
+        return reduce(DataFrame.unionByName, [written(_top_k(queries.where(block == b), vectors, k), "nearest") for b in range(n_blocks)])
     return _top_k(queries, vectors, k)
 
 

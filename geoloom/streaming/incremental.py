@@ -16,11 +16,9 @@ from ..sources.raw_store import exists
 def decide(accepted: DataFrame, arriving: DataFrame, radius_m: float = 7.0, max_per_cluster: int = 2) -> DataFrame:
     """The rows of ``arriving`` (with ``ord`` after all accepted ones) that are kept.
 
-    Accepted rows among themselves meet the cap already, so running the rounds over
-    both gives the decisions that one run over everything would have given.
+    Accepted rows stay as they are; of them only those near an arriving row are looked at.
     """
-    both = accepted.select(arriving.columns).withColumn("_old", F.lit(True)).unionByName(arriving.withColumn("_old", F.lit(False)))
-    return spatial.deduplicate(both, radius_m, max_per_cluster).where("not _old").drop("_old")
+    return spatial.deduplicate(arriving, radius_m, max_per_cluster, accepted=accepted)
 
 
 def stream_manifest(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, radius_m: float = 7.0, max_per_cluster: int = 2):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
@@ -42,6 +43,30 @@ def test_equals_the_loop(spark, seed, cap, spread):
     assert kept(spatial.deduplicate(frame(spark, points), max_per_cluster=cap)) == loop(points, cap=cap)
 
 
+def test_chains_across_blocks_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK_CELLS", 4)
+    monkeypatch.setattr(spatial, "MOST_POINTS", 60)
+    rng = random.Random(9)
+    step = 3 / 111_194.9
+    drive = [(55.75 + k * step, 37.61 + (k % 3) * 1e-6) for k in range(300)]
+    parked = [(55.752, 37.61)] * 150 + [(55.7521, 37.6101)] * 80
+    field = [(55.753 + rng.random() * 4e-4, 37.62 + rng.random() * 4e-4) for _ in range(400)]
+    places = drive + parked + field
+    rng.shuffle(places)
+    points = [(k, *x) for k, x in enumerate(drive + places)]
+    assert kept(spatial.deduplicate(frame(spark, points))) == loop(points)
+
+
+def test_drives_and_parked_cameras_take_no_more_time_than_others(spark):
+    step = 3 / 111_194.9
+    drive = [(k, 55.0 + k * step, 37.61) for k in range(10_000)]
+    parked = [(k, 55.75, 37.61) for k in range(10_000, 20_000)]
+    began = time.monotonic()
+    found = kept(spatial.deduplicate(frame(spark, drive + parked)))
+    assert time.monotonic() - began < 60 and len([x for x in found if x >= 10_000]) == 2
+    assert [x for x in found if x < 500] == loop(drive[:500])
+
+
 def test_four_points(spark):
     points = [(1, 55.75, 37.61), (2, 55.75001, 37.61001), (3, 55.750015, 37.610015), (4, 55.76, 37.62)]
     assert kept(spatial.deduplicate(frame(spark, points))) == [1, 2, 4]
