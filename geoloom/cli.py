@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from .config import FLAT_FETCH, NESTED_FETCH, FetchOptions, Settings
 from .plans import jobs
 from .session import healthy, local_session
@@ -11,6 +13,7 @@ from .session import healthy, local_session
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="geoloom")
+    top.add_argument("--local", action="store_true", help="run on this machine instead of the session that spark-submit gives")
     commands = top.add_subparsers(dest="command", required=True)
     for name, fetch in (("ingest-nested", NESTED_FETCH), ("ingest-flat", FLAT_FETCH)):
         one = commands.add_parser(name)
@@ -46,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = local_session()
+    spark = local_session() if a.local else SparkSession.builder.appName("geoloom").getOrCreate()
     if a.command.startswith("ingest"):
         fetch = FetchOptions(a.limit_per_tile, a.request_pause_sec, a.request_retries, a.backoff_sec, a.max_pages_per_tile)
         print(jobs.ingest(spark, a.command.removeprefix("ingest-"), a.store, fetch, token=Settings().nested_token, concurrent=a.concurrent_tiles))

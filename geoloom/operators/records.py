@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import default_if_falsy, safe_filename, uuid5
 from ..schemas import MANIFEST
+from ..tables import written
 
 IMAGE_ROOT = "data/raw/images"
 
@@ -50,10 +51,9 @@ def dense_order(rows: DataFrame, *order: str, into: str = "ord") -> DataFrame:
 
     Range partitions are numbered one after the other: the count of each, of which
     there are as many as partitions, is summed up, and rows are numbered within.
+    The ranges are a table in the shared folder, since a second sort could cut them elsewhere.
     """
-    from pyspark import StorageLevel
-
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))

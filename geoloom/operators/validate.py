@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ISSUES, REQUIRED
+from ..tables import Scratch
 from .grid import AREA
 
 
@@ -60,16 +64,25 @@ def issues(found: DataFrame) -> DataFrame:
     return found.select(F.explode(kinds).alias("category"), "row_id", "ord")
 
 
-def report(manifest: DataFrame, images: DataFrame | None = None, min_bytes: int = 10_000, order: str | None = None, most_listed: int = 100_000) -> dict:
-    """The summary, and the ids of each kind of issue in row order, for a small JSON file.
+def write_report(path: str | Path, manifest: DataFrame, images: DataFrame | None = None, min_bytes: int = 10_000, order: str | None = None) -> dict:
+    """Writes the summary, and the ids of every issue by kind in row order, as one JSON file; returns the summary.
 
-    Lists end at ``most_listed`` ids a kind; the full table is :func:`issues`.
+    Lists are whole.  They are streamed from Spark into the file, partition by
+    partition, so the driver holds a part of one at a time.
     """
     columns = missing_columns(manifest)
-    found = flags(manifest, images, min_bytes, order)
-    counts = summary(found, len(columns)).first().asDict()
-    listed = {x: [] for x in ISSUES} | {ISSUES[0]: columns}
-    for kind in ISSUES[1:]:
-        if counts[kind]:
-            listed[kind] = [r.row_id for r in issues(found).where(F.col("category") == kind).orderBy("ord").limit(most_listed).collect()]
-    return {"summary": counts, "issues": listed}
+    with Scratch(manifest.sparkSession, "validate") as keep:
+        found = keep(flags(manifest, images, min_bytes, order), "flags")
+        counts = summary(found, len(columns)).first().asDict()
+        target = Path(path)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        with target.open("w", encoding="utf-8") as out:
+            out.write('{\n  "summary": ' + json.dumps(counts) + ',\n  "issues": {')
+            for n, kind in enumerate(ISSUES):
+                listed = columns if not n else (r.row_id for r in found.where(kind).orderBy("ord").select("row_id").toLocalIterator())
+                out.write(("," if n else "") + f'\n    "{kind}": [')
+                for k, entry in enumerate(listed):
+                    out.write((", " if k else "") + json.dumps(entry, ensure_ascii=False))
+                out.write("]")
+            out.write("\n  }\n}\n")
+    return counts

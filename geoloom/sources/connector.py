@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,6 +33,12 @@ class TileRun(InputPartition):
         self.tiles = tiles
 
 
+def shown_error(error: Exception, token: str = "") -> str:
+    """An error's kind and text without the queries of its urls and without the token."""
+    text = re.sub(r"\?[^\s'\"<>)]*", "?", f"{type(error).__name__}: {error}")
+    return text.replace(token, "...") if token else text
+
+
 class TileReader(DataSourceReader):
     def __init__(self, provider: str, token: str, tiles: list, fetch: FetchOptions, runs: int, connect: Callable):
         self.provider, self.token, self.tiles, self.fetch, self.runs, self.connect = provider, token, tiles, fetch, runs, connect
@@ -55,7 +62,7 @@ class TileReader(DataSourceReader):
                     yield number, k, json.dumps(item, ensure_ascii=False), None
                     k += 1
             except Exception as error:
-                yield number, k, None, f"{type(error).__name__}: {error}"
+                yield number, k, None, shown_error(error, self.token)
             time.sleep(self.fetch.pause_sec)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PARSED
@@ -30,11 +30,23 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed records of an array file in its order, with their raw text."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PARSED.fields if f.name != "ord")
-    extra = "heading double, url string, thumb_path string, license string, attribution string"
-    items = read_items(spark, path)
-    return items.select("ord", F.from_json("json", f"{kinds}, {extra}", {"primitivesAsString": "false"}).alias("r"), F.col("json").alias("raw_json")).select("ord", "r.*", "raw_json")
+    """Parsed records of an array file in its order, with their raw text.
+
+    Places and headings may be numbers or texts of numbers; any other text is an
+    error that tells the record.
+    """
+    numbers = ("lat", "lon", "heading")
+    names = [f.name for f in PARSED.fields if f.name != "ord"] + ["heading", "url", "thumb_path", "license", "attribution"]
+    fields = F.from_json("json", ", ".join(f"{x} string" for x in names)).alias("r")
+
+    def number(name: str) -> Column:
+        text = F.trim(F.col(f"r.{name}"))
+        value = text.try_cast("double")
+        wrong = F.raise_error(F.concat(F.lit(f"{path}: record "), F.col("ord"), F.lit(f" has a {name} that is no number: "), text)).cast("double")
+        return F.when(text.isNotNull() & value.isNull(), wrong).otherwise(value).alias(name)
+
+    items = read_items(spark, path).select("ord", fields, F.col("json").alias("raw_json"))
+    return items.select("ord", *(number(x) if x in numbers else F.col(f"r.{x}") for x in names), "raw_json")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -81,4 +81,4 @@ def test_grid_guards(spark, steps):
 
 def test_box_text():
     box = grid.BBox(1.0, 2.0, 3.0, 4.0)
-    assert box.query_text() == "3.0,1.0,4.0,2.0" and box.as_dict()["max_lon"] == 4.0
+    assert box.query_text() == "3.0,1.0,4.0,2.0" and box._asdict()["max_lon"] == 4.0

@@ -133,6 +133,58 @@ def test_scan_and_ingest(spark, tmp_path):
     assert [r.id for r in jobs.stored_records(spark, store).orderBy("ord").collect()] == ["k0.0", "same", "k1.0", "k2.0"]
 
 
+def tile_table(spark, n):
+    return spark.createDataFrame([(k, 0.0, 0.1, float(k), k + 0.1) for k in range(n)], "tile_no long, min_lat double, max_lat double, min_lon double, max_lon double")
+
+
+class EmptySession:
+    def get(self, url, params=None, timeout=None):
+        return Answer(payload={"data": []})
+
+
+def test_runs_that_find_nothing_or_die_leave_a_store_that_works(spark, tmp_path, monkeypatch):
+    store, plan = str(tmp_path / "store"), tile_table(spark, 2)
+    assert [jobs.ingest(spark, "flat", store, FAST, plan, connect=EmptySession) for _ in range(3)] == [(0, 0)] * 3
+    assert jobs.stored_records(spark, store).count() == 0
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "_commit", die)
+        with pytest.raises(KeyboardInterrupt):
+            jobs.ingest(spark, "flat", store, FAST, plan, connect=TileSession)
+    assert jobs.stored_records(spark, store).count() == 0
+    # The answers of the run that died are there: nobody is asked again.
+    assert jobs.ingest(spark, "flat", store, FAST, plan, connect=DownSession) == (3, 3)
+    assert [jobs.ingest(spark, "flat", store, FAST, plan, connect=TileSession) for _ in range(2)] == [(0, 3)] * 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        jobs._commit(spark, store, 0, {})
+
+
+class DownSession:
+    def get(self, url, params=None, timeout=None):
+        raise ConnectionError(f"GET {url}?access_token={(params or {}).get('access_token')}&bbox=1 failed; token s3cret")
+
+
+def test_failed_tiles_are_told_without_the_token(spark, tmp_path, caplog):
+    store = str(tmp_path / "store")
+    assert jobs.ingest(spark, "nested", store, FetchOptions(limit=1, pause_sec=0, retries=1), tile_table(spark, 3), token="s3cret", connect=DownSession, step_tiles=2) == (0, 0)
+    rows = jobs.failed_tiles(spark, store).orderBy("tile_no").collect()
+    assert [(r.run, r.tile_no) for r in rows] == [(0, 0), (0, 1), (0, 2)] and "3 of 3 tiles failed" in caplog.text
+    assert all("s3cret" not in r.error and "ConnectionError" in r.error for r in rows)
+
+
+def test_places_given_as_text(spark, tmp_path):
+    path = tmp_path / "x.json"
+    raw_store.write_json(path, [{"id": 1, "lat": " 55.7", "lon": "37.6", "url": "u"}, {"id": "2", "lat": 1e1, "lon": -3, "url": "u"}, {"id": "3", "lat": None, "url": "u"}])
+    rows = raw_store.read_records(spark, str(path)).orderBy("ord").collect()
+    assert [(r.id, r.lat, r.lon) for r in rows] == [("1", 55.7, 37.6), ("2", 10.0, -3.0), ("3", None, None)]
+    raw_store.write_json(path, [{"id": "4", "lat": "abc", "lon": 1, "url": "u"}])
+    with pytest.raises(Exception, match="record 0 has a lat that is no number: abc"):
+        raw_store.read_records(spark, str(path)).collect()
+
+
 def test_scan_guards(spark):
     with pytest.raises(ValueError, match="token"):
         scan_tiles(spark, "nested", [], FAST)
@@ -183,10 +235,11 @@ def test_validation_of_images(spark, tmp_path):
     rows = [("a", 55.75, 37.61, "good.png"), ("b", 0.0, 37.61, "junk.jpg"), ("c", 0.0, 0.0, "none.jpg"), (None, float("nan"), 37.6, "good.png")]
     manifest = spark.createDataFrame([(k, i, x, y, str(folder / p)) for k, (i, x, y, p) in enumerate(rows)], "ord long, id string, lat double, lon double, image_path string")
     manifest.write.parquet(str(tmp_path / "m"))
-    out = jobs.run_validate(spark, str(tmp_path / "m"), str(folder), str(tmp_path / "r" / "report.json"), min_bytes=20)
-    assert out["summary"] == {"rows": 4, "missing_fields": 3, "invalid_coords": 3, "missing_images": 1, "too_small": 1, "broken_images": 1}
+    counts = jobs.run_validate(spark, str(tmp_path / "m"), str(folder), str(tmp_path / "r" / "report.json"), min_bytes=20)
+    out = json.loads((tmp_path / "r" / "report.json").read_text())
+    assert counts == out["summary"] == {"rows": 4, "missing_fields": 3, "invalid_coords": 3, "missing_images": 1, "too_small": 1, "broken_images": 1}
     assert sorted(out["issues"]["invalid_coords"]) == ["None", "b", "c"] and out["issues"]["missing_images"] == ["c"] and out["issues"]["broken_images"] == ["b"]
-    assert json.loads((tmp_path / "r" / "report.json").read_text()) == out
+    assert list(out["issues"]) == ["missing_fields", "invalid_coords", "missing_images", "too_small", "broken_images"] and out["issues"]["missing_fields"][0] == "missing_column:source"
     assert images.scan(spark, str(tmp_path / "nowhere")).count() == 0
 
 
