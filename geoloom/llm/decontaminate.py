@@ -1,15 +1,17 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts are normalised to runs of word bytes with one space between, which loses
-no word boundary.  The automaton holds every window of the items' words; one
-pass over a text gives all occurrences, and places in the normalised text map to
-words and, by their order, to spans of the original.
+no word boundary.  One pass of the automaton over a text finds the blocks of all
+windows, which are extended to the windows that occur; words map, by their order,
+to spans of the original.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ WINDOW_WORDS = 10
 #: Words are runs of 0-9, a-z and everything from U+0080 on, after A-Z are lowered.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Bytes of benchmark text in one automaton; a larger benchmark takes more passes.
-AUTOMATON_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton, which takes some 25 times as many; a larger benchmark takes more passes.
+AUTOMATON_BYTES = 16 << 20
 FOUND_TYPE = "struct<n_words:long,n_hit:long,items:array<string>,hit_words:array<struct<start:long,end:long>>,hit_spans:array<struct<start:long,end:long>>>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_words", SPANS), ("hit_spans", SPANS)])
@@ -36,14 +38,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def windows_of(text: str | None, size: int = WINDOW_WORDS) -> list[bytes]:
-    """All windows of a text, each as its words between single spaces."""
-    words = words_of(text)
-    if not words:
-        return []
-    return [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
-
-
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Where the words of :func:`words_of` stand in the original, in code points."""
     lowered = text.translate({c: c + 32 for c in range(65, 91)})
@@ -51,39 +45,85 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """The automaton of some items' windows."""
+    """The automaton of some items' blocks, and the items' words to extend its hits.
+
+    A window of s words has, wherever it begins in its item, a whole block of half
+    as many that starts at a multiple of the block's size.  So the automaton holds one
+    such path for each block, about two nodes for each word of the items, and not one for
+    each window; a hit is extended word by word in every item that has the block.
+    Words are numbered, and a number is two signs, one of either alphabet, so
+    that a node has few children and a hit stands at a word's end.
+    """
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW_WORDS):
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = {}
-        for item_id, text in items:
-            for window in windows_of(text, size):
-                owners.setdefault(window, set()).update([] if item_id is None else [item_id])
-        self.automaton = ahocorasick.Automaton()
-        for window, ids in owners.items():
-            self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, sorted(ids)))
-        if owners:
+        self.size, self.block = size, (size + 1) // 2
+        self.number: dict[bytes, int] = {}
+        listed = [(item_id, words) for item_id, words in ((i, words_of(t)) for i, t in items) if words]
+        self.ids = [item_id for item_id, _ in listed]
+        reach = size - self.block
+        sizes = np.array([len(words) for _, words in listed], dtype=np.int64)
+        # The items' numbers one after the other; -1 between them matches no word.
+        self.begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) + reach + 1 if listed else np.zeros(0, np.int64)
+        self.stream = np.full(int(sizes.sum()) + len(listed) + 2 * reach + 2, -1, dtype=np.int32)
+        for begin, (_, words) in zip(self.begins.tolist(), listed, strict=True):
+            self.stream[begin : begin + len(words)] = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+        self.whole = np.minimum(sizes, size)
+        base = math.isqrt(len(self.number)) + 1
+        self.signs = [chr(k // base) + chr(base + k % base) for k in range(len(self.number) + 1)]
+        self.signs[0] = chr(2 * base) * 2  # a word that no item has
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        lengths, paths, places, owners = array("q"), array("q"), array("q"), array("q")
+        for n, (begin, length) in enumerate(zip(self.begins.tolist(), sizes.tolist(), strict=True)):
+            step = min(self.block, length)
+            for k in range(begin, begin + length - step + 1, step):
+                path = "".join([self.signs[x] for x in self.stream[k : k + step].tolist()])
+                known = self.automaton.get(path, -1)
+                if known < 0:
+                    known = len(lengths)
+                    self.automaton.add_word(path, known)
+                    lengths.append(step)
+                paths.append(known)
+                places.append(k)
+                owners.append(n)
+        # The places of path k, and their items, lie from bounds[k] to bounds[k + 1].
+        self.lengths, of = np.array(lengths, dtype=np.int32), np.array(paths, dtype=np.int32)
+        order = np.argsort(of, kind="stable")
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(lengths)))])
+        self.places, self.owners = np.array(places, dtype=np.int32)[order], np.array(owners, dtype=np.int32)[order]
+        self.empty = not len(lengths)
+        if not self.empty:
             self.automaton.make_automaton()
-        self.empty = not owners
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words any window covers, and the items that have such a window."""
         hit, found = np.zeros(len(words), dtype=bool), set()
         if self.empty or not words:
             return hit, found
-        # Latin-1 gives each byte one sign, so windows match byte by byte.
-        line = f" {b' '.join(words).decode('latin-1')} "
-        ends = None
-        for end, (length, items) in self.automaton.iter(line):
-            if ends is None:
-                ends = np.cumsum([len(w) + 1 for w in words])
-            last = int(np.searchsorted(ends, end))
-            hit[last - length + 1 : last + 1] = True
-            found.update(items)
+        get, signs, reach, text = self.number.get, self.signs, self.size - self.block, None
+        for end, path in self.automaton.iter("".join([signs[get(w, 0)] for w in words])):
+            if text is None:
+                text = np.full(len(words) + 2 * reach, -2, dtype=np.int32)
+                text[reach : reach + len(words)] = [get(w, 0) for w in words]
+            length, among = int(self.lengths[path]), slice(self.bounds[path], self.bounds[path + 1])
+            at, items, last = self.places[among], self.owners[among], end // 2 + 1
+            first, steps = last - length, np.arange(1, reach + 1)
+            left = _matched(self.stream[at[:, None] - steps] == text[reach + first - steps])
+            right = _matched(self.stream[at[:, None] + length - 1 + steps] == text[reach + last - 1 + steps])
+            full = left + length + right >= self.whole[items]
+            for a, b, n in zip(left[full].tolist(), right[full].tolist(), items[full].tolist(), strict=True):
+                hit[first - a : last + b] = True
+                if self.ids[n] is not None:
+                    found.add(self.ids[n])
         return hit, found
 
 
+def _matched(equal: np.ndarray) -> np.ndarray:
+    """How many of each row hold before the first that doesn't."""
+    return np.logical_and.accumulate(equal, axis=1).sum(axis=1)
+
+
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
@@ -96,7 +136,7 @@ def _item_batches(items: DataFrame, most: int, without_id: bool) -> Iterator[lis
     rows = rows if without_id else rows.where("item_id is not null")
     for row in rows.toLocalIterator():
         held.append((row.item_id, row.text))
-        size += len(row.text)
+        size += len(row.text.encode())
         if size >= most:
             yield held
             held, size = [], 0

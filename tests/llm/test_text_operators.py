@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,11 +53,16 @@ def test_quality_needs_no_python(spark, docs):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def windows_of(text, size=10):
+    words = decontaminate.words_of(text)
+    return [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+
+
 def hits(text, items):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
     for item_id, item in items:
-        for window in decontaminate.windows_of(item):
+        for window in windows_of(item):
             w = window.split()
             for k in range(len(words) - len(w) + 1):
                 if words[k : k + len(w)] == w:
@@ -153,3 +159,38 @@ def test_reliabilities_equal_a_plain_loop(spark):
     assert r == pytest.approx(plain_em(patterns, pii.ROUNDS))
     trust = {tuple(x.votes): x.t for x in frame.select("votes", pii._trust(F.col("votes"), F.array(*(F.lit(x) for x in r))).alias("t")).collect()}
     assert trust[2, 2, 2] > 0.9 and trust[0, 0, 0] < 0.1
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10])
+def test_scanner_equals_all_windows(size):
+    rng = random.Random(size)
+    draw = lambda n: " ".join(rng.choices("abcd", k=n))  # few words, so that blocks recur and overlap
+    items = [(str(k), draw(rng.randrange(0, 26))) for k in range(25)] + [("twin", "a b"), ("twin2", "a b")]
+    scanner = decontaminate.Scanner(items, size)
+    for _ in range(60):
+        text = draw(rng.randrange(0, 60)) + " zz " + (rng.choice(items)[1] or "")
+        words, covered, found = decontaminate.words_of(text), set(), set()
+        for item_id, item in items:
+            for window in windows_of(item, size):
+                n = window.count(b" ") + 1
+                for k in range(len(words) - n + 1):
+                    if b" ".join(words[k : k + n]) == window:
+                        covered |= set(range(k, k + n))
+                        found.add(item_id)
+        hit, ids = scanner.scan(words)
+        assert (set(hit.nonzero()[0].tolist()), ids) == (covered, found)
+
+
+def test_memory_of_the_automaton():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(60_000)}" for _ in range(330_000)]
+    items = [(str(k), " ".join(words[k : k + 110])) for k in range(0, len(words), 110)]
+    n_bytes = sum(len(x[1]) for x in items)
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    before = resident()
+    scanner = decontaminate.Scanner(items)
+    # In proportion, an automaton of the largest size takes less than 500 MB.
+    assert (resident() - before) * decontaminate.AUTOMATON_BYTES / n_bytes < 500e6
+    assert scanner.automaton.get_stats()["nodes_count"] < 2.1 * len(words)
