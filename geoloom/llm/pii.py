@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-KINDS = ("email", "ip", "card", "phone", "credential", "national_id", "local_phone", "hidden_email")
+KINDS = ("email", "ip", "card", "phone", "credential", "national_id", "local_phone", "hidden_email", "iban", "birth_date", "address", "person")
 N_BASE = 4
 
 #: The base patterns.  \G lets a match begin where the last one ended.
@@ -29,16 +29,30 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Shapes of candidates.
-CREDENTIAL = r"""\b(?i:password|passwd|pwd|secret|token|api_?key)[=:][^\s"']{4,}+|\bAKIA[0-9A-Z]{16}\b"""
+CREDENTIAL = r"""\b(?i:password|passwd|pwd|passphrase|secret|token|(?:api|access|auth|private)[_-]?key)["']?+[\x20\t]*+[=:][\x20\t]*+["']?+[^\s"']{4,}+|\bAKIA[0-9A-Z]{16}\b|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"""
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-HIDDEN_EMAIL = r"[A-Za-z0-9._%+-]{1,64} ?[(\[{]at[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]{1,63}){1,8}"
+HIDDEN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{]dot[)\]}]) ?[A-Za-z0-9-]++)++"
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?\b"
+BIRTH_DATE = r"(?i)\b(?:born(?: on)?|date of birth|dob|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa](?: el)?|fecha de nacimiento)[:\x20]\x20?(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4})(?![0-9])"
+ADDRESS = r"\b[0-9]{1,5}\x20(?:[A-Z][a-z]+\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Square|Court)\b|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee)\x20[0-9]{1,4}\b|\b[0-9]{1,4},?\x20(?:rue|avenue|boulevard|place)\x20[^\n,;.]{3,40}|\b(?:[Cc]alle|[Aa]venida|[Pp]laza)\x20[^\n,;.0-9]{3,40},?\x20[0-9]{1,4}\b"
+PERSON = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.?\x20[A-ZÀ-Þ][a-zà-ÿ'-]+(?:\x20[A-ZÀ-Þ][a-zà-ÿ'-]+)?"
+
+#: Gazetteers of what ends or begins true spans, and of placeholders.
+LISTED = (
+    r"(?i)^[\"']?(?:password|passwd|pwd|passphrase|secret|token|(?:api|access|auth|private)[_-]?key)\b|^(?:AKIA|eyJ)"
+    r"|(?i)[a-z]\.?(?:com|net|org|edu|gov|io|info|biz|de|at|ch|fr|be|es|pt|it|nl|pl|se|no|dk|fi|uk|ie|eu|us|ca|mx|br|ar|au|nz|in|jp|cn|ru)$"
+    r"|^(?:AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)[0-9]{2}"
+    r"|\b(?:James|John|Robert|Michael|David|Mary|Patricia|Jennifer|Linda|Susan|Hans|Peter|Klaus|Thomas|Anna|Maria|Petra|Jean|Pierre|Michel|Marie|Claire|Sophie|José|Juan|Carlos|Carmen|Ana|Lucía)\b"
+)
+UNLISTED = r"(?i)[=:]\s*[\"']?(?:none|null|true|false|changeme|example|string|required|optional|\*+|x+|<.*)$|^(?:123|000)-|(?:000|1234)$"
 
 #: Cues before a span, for and against.
-FOR = r"(?i)\b(?:phone|tel|call|fax|mobile|contact|ssn|social|security|login|user|account|key|mail|write|reach|secret|access)\b"
-AGAINST = r"(?i)\b(?:version|section|page|isbn|part|serial|order|figure|table|chapter|example)\b"
+FOR = r"(?i)\b(?:phone|tel|telefon|téléphone|teléfono|call|fax|mobile|contact|ssn|social|security|login|user|account|konto|compte|cuenta|iban|key|mail|write|reach|secret|access|address|adresse|dirección|lives|wohnt|patient|customer|dear)\b"
+AGAINST = r"(?i)\b(?:version|section|page|isbn|part|serial|order|figure|table|chapter|example|sample|placeholder)\b"
 CONTEXT = 40
-ROUNDS = 25
+#: Rounds of estimation between two looks at the change, and the change at which it has come to rest.
+ROUNDS, AT_REST = 25, 1e-6
 
 NO, ABSTAIN, YES = 0, 1, 2
 SPAN = "array<struct<start:int,end:int,kind:int>>"
@@ -52,16 +66,35 @@ def _bound(value: Column, body) -> Column:
 def _matches(text: Column, pattern: str, kind: int, present: Column) -> Column:
     """All matches with their places; where ``present`` is false none is looked for."""
 
+    def span(begin: Column, pieces: Column, values: Column, k: Column) -> Column:
+        start = begin + F.length(F.get(pieces, k))
+        return F.struct(start.alias("start"), (start + F.length(F.get(values, k))).alias("end"), F.lit(kind).alias("kind"), F.get(values, k).alias("value"), F.right(F.get(pieces, k), F.lit(CONTEXT)).alias("before"))
+
     def located(pieces: Column, values: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
+        """Folds in blocks of the root of their number, since an array that grows by one is copied each time."""
+        n = F.size(values)
+        edge = F.greatest(F.lit(16), F.floor(F.sqrt(n.cast("double"))).cast("int"))
+
+        def within(b: Column) -> Column:
+            return F.sequence(b * edge, F.least(n, (b + 1) * edge) - 1)
+
+        def begins(lengths: Column) -> Column:
+            return F.aggregate(lengths, F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + x))
+
+        def fold(b: Column, at: Column) -> Column:
+            zero = F.struct(F.get(at, b).alias("at"), F.array().cast(FOUND).alias("out"))
+
+            def step(state: Column, k: Column) -> Column:
+                return _bound(span(state["at"], pieces, values, k), lambda one: F.struct(one["end"].alias("at"), F.array_append(state["out"], one).alias("out")))
 
-        def step(state: Column, k: Column) -> Column:
-            start = state["at"] + F.length(F.get(pieces, k))
-            end = start + F.length(F.get(values, k))
-            one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.get(values, k).alias("value"), F.right(F.get(pieces, k), F.lit(CONTEXT)).alias("before"))
-            return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+            return F.aggregate(within(b), zero, step)["out"]
 
-        return F.when(F.size(values) == 0, F.array().cast(FOUND)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), zero, step)["out"])
+        def blocks(listed: Column) -> Column:
+            lengths = F.transform(listed, lambda b: F.aggregate(within(b), F.lit(0), lambda total, k: total + F.length(F.get(pieces, k)) + F.length(F.get(values, k))))
+            return _bound(begins(lengths), lambda at: F.flatten(F.transform(listed, lambda b: fold(b, at))))
+
+        every = F.sequence(F.lit(0), F.floor((n - 1) / edge).cast("int"))
+        return F.when(n == 0, F.array().cast(FOUND)).otherwise(_bound(every, blocks))
 
     found = _bound(F.split(text, pattern, -1), lambda p: _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: located(p, v)))
     return F.when(present, found).otherwise(F.array().cast(FOUND))
@@ -97,18 +130,37 @@ def candidates(text: Column) -> Column:
     """Matches of the shapes that may hold personal data, with what stands before."""
     digits = text.rlike(r"[0-9]{3}\)?[ .-][0-9]{2}")
     hidden = text.contains("(at)") | text.contains("[at]") | text.contains("{at}")
-    return F.concat(_matches(text, CREDENTIAL, 4, F.lit(True)), _matches(text, NATIONAL_ID, 5, digits), _matches(text, LOCAL_PHONE, 6, digits), _matches(text, HIDDEN_EMAIL, 7, hidden))
+    keyed = text.rlike(r"[=:]|AKIA|eyJ")
+    titled = text.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b")
+    placed = text.rlike(r"[0-9]") & text.rlike(r"\b(?:St|Ave|Rd|Ln|Dr|Blvd|Street|Avenue|Road|Lane|Drive|Boulevard|Square|Court|rue|avenue|boulevard|place)\b|(?i)(?:stra(?:ß|ss)e|weg|platz|allee)\b|\b(?:calle|avenida|plaza)\b")
+    born = text.rlike(r"(?i)\b(?:born|birth|dob|geb|né|naiss|nac)")
+    shapes = [(CREDENTIAL, keyed), (NATIONAL_ID, digits), (LOCAL_PHONE, digits), (HIDDEN_EMAIL, hidden), (IBAN, text.rlike(r"\b[A-Z]{2}[0-9]{2}")), (BIRTH_DATE, born), (ADDRESS, placed), (PERSON, titled)]
+    return F.concat(*(_matches(text, pattern, N_BASE + k, present) for k, (pattern, present) in enumerate(shapes)))
+
+
+def _iban_holds(value: Column) -> Column:
+    """Whether the number that the letters and digits stand for leaves 1 when divided by 97."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+    digits = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(digits, F.lit(0), lambda rest, d: (rest * F.when(d > 9, 100).otherwise(10) + d) % 97) == 1
 
 
 def _votes(kind: Column, value: Column, before: Column) -> list[Column]:
     """What the shape, the gazetteer and the context labeler say of a span."""
     digits = _digits(value)
-    credential = value.rlike(r"^AKIA|[=:](?=.*[0-9]).{8,}$")
-    strict = F.when(kind == 4, credential).when(kind == 5, ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")).when(kind == 6, digits.rlike("^[2-9][0-9]{2}[2-9]")).otherwise(value.rlike(r"[A-Za-z]{2,}$"))
+    credential = value.rlike(r"^(?:AKIA|eyJ)|[=:]\s*[\"']?(?=\S*[0-9])\S{8,}$")
+    strict = (
+        F.when(kind == 4, credential)
+        .when(kind == 5, ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$"))
+        .when(kind == 6, digits.rlike("^[2-9][0-9]{2}[2-9]"))
+        .when(kind == 7, value.rlike(r"[A-Za-z]{2,}$"))
+        .when(kind == 8, _iban_holds(value))
+        .when(kind == 9, ~value.rlike("(?:^|[^0-9])(?:00|[4-9][0-9])[./-]"))
+        .otherwise(value.rlike(r"^.{6,60}$"))
+    )
     shape = F.when(strict, F.lit(YES)).otherwise(F.lit(NO))
-    listed = value.rlike(r"(?i)^(?:password|passwd|pwd|secret|api_?key|akia)|(?:com|net|org|edu|gov|de|fr|es|uk|eu)$")
-    unlisted = value.rlike(r"(?i)[=:](?:none|null|true|false|changeme|example|string|\*+|x+)$|^(?:123|000)-|(?:000|1234)$")
-    gazetteer = F.when(unlisted, F.lit(NO)).when(listed, F.lit(YES)).otherwise(F.lit(ABSTAIN))
+    gazetteer = F.when(value.rlike(UNLISTED), F.lit(NO)).when(value.rlike(LISTED), F.lit(YES)).otherwise(F.lit(ABSTAIN))
     context = F.when(before.rlike(FOR), F.lit(YES)).when(before.rlike(AGAINST), F.lit(NO)).otherwise(F.lit(ABSTAIN))
     return [shape, gazetteer, context]
 
@@ -125,8 +177,8 @@ def _features(kind: Column, value: Column, before: Column) -> list[Column]:
     ]
 
 
-def reliabilities(patterns: DataFrame, labelers: int = 3, rounds: int = ROUNDS) -> Column:
-    """Expectation-maximisation over vote patterns, as one scalar subquery.
+def reliabilities(patterns: DataFrame, labelers: int = 3, rounds: int = ROUNDS, begin: list[float] | None = None) -> DataFrame:
+    """Some rounds of expectation-maximisation over vote patterns, from ``begin`` on: one row with r.
 
     ``patterns`` has votes (array) and n, one row for each pattern that occurs.  The
     result is an array: the share of true spans, then for true and after that for
@@ -162,8 +214,18 @@ def reliabilities(patterns: DataFrame, labelers: int = 3, rounds: int = ROUNDS)
         return _bound(weighed, estimates)
 
     table = patterns.agg(whole.alias("found"))
-    begin = F.array(*(F.lit(x) for x in start))
-    return table.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda state, _: step(state, F.col("found"))).alias("r"))
+    first = F.array(*(F.lit(float(x)) for x in begin or start))
+    return table.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, lambda state, _: step(state, F.col("found"))).alias("r"))
+
+
+def settled(patterns: DataFrame) -> list[float]:
+    """The estimates at rest: some fifty numbers over at most 27 patterns, so they are read between the rounds."""
+    last = list(reliabilities(patterns).first().r)
+    while True:
+        now = list(reliabilities(patterns, begin=last).first().r)
+        if max(abs(a - b) for a, b in zip(now, last, strict=True)) <= AT_REST:
+            return now
+        last = now
 
 
 def _trust(votes: Column, r: Column, labelers: int = 3) -> Column:
@@ -201,8 +263,8 @@ def found(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     spans = table.select("key", "print", F.explode("found").alias("x")).select("key", "print", "x.*")
     spans = spans.withColumn("votes", F.array(*_votes(F.col("kind"), F.col("value"), F.col("before")))).withColumn("features", F.array(*_features(F.col("kind"), F.col("value"), F.col("before"))))
     spans = written(spans.drop("value", "before"), "pii-candidates")
-    r = written(reliabilities(spans.groupBy("votes").agg(F.count("*").alias("n"))), "pii-reliabilities")
-    trusted = spans.withColumn("trust", _trust(F.col("votes"), r.scalar()))
+    r = settled(written(spans.groupBy("votes").agg(F.count("*").alias("n")), "pii-patterns"))
+    trusted = spans.withColumn("trust", _trust(F.col("votes"), F.array(*(F.lit(x) for x in r))))
     weights = written(_classifier(trusted), "pii-classifier")
     model = weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight")))).scalar()
     parts = [F.lit("")] + [F.col("features")[k] for k in range(6)]
