@@ -151,8 +151,7 @@ class Block:
         begins = np.cumsum(self.sizes) - self.sizes
         self.context[begins[self.sizes > 0]] = start
         keys = mixed(mixed(self.words[self.context] ^ U64(0x9E3779B97F4A7C15)) + self.words[self.word])
-        self.pairs, first, self.pair = np.unique(keys, return_index=True, return_inverse=True)
-        self.pair_word, self.pair_context = self.word[first], self.context[first]
+        self.pairs, self.pair = np.unique(keys, return_inverse=True)
         self.side = np.repeat(np.array(row["target"], dtype=bool), self.sizes)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +203,12 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), ANSWER.types, strict=True)], schema=ANSWER)
 
 
+def _own(owner: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each token, how often its own document has what it has."""
+    _, at, n = np.unique(owner.astype(np.int64) * (int(of.max(initial=0)) + 1) + of, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _loss(pair, word, total, unigrams, smoothing: float):
     return -np.log((pair + smoothing * ((word + 1.0) / unigrams)) / (total + smoothing))
 
@@ -218,10 +223,12 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
     """doc_id, n_tokens, target_loss, background_loss, difference (nats per token).
 
     ``docs`` has doc_id and text; ``target`` has the doc_id of the documents that
-    the target model learns from; all others teach the background model.  A low
-    difference means that a document is like the target.  Texts without a word,
-    null or not, have no tokens and null losses.  Repeated rows count and are
-    scored each.  Without target documents the target model is uniform.  Empty
+    the target model learns from; all others teach the background model.  Each
+    document is scored by models that haven't seen it: its own counts are taken out
+    of its side's, so that a text which occurs nowhere else can't look familiar.  A
+    low difference means that a document is like the target.  Texts without a word,
+    null or not, have no tokens and null losses; very long ones are one document
+    of their block.  Repeated rows count and are scored each.  Without target documents the target model is uniform.  Empty
     tables give empty results; other columns aren't read.
 
     All words are counted after all contexts, and one class stands for words that
@@ -254,10 +261,13 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
             of_pairs = np.concatenate([unpacked(x["pair_counts"], np.int64).reshape(2, -1) for x in found], axis=1)
             owner, n = np.repeat(np.arange(len(block.sizes)), block.sizes), np.maximum(block.sizes, 1)
             none = block.sizes == 0
+            own_pair, own_word, own_context = (_own(owner, x) for x in (block.pair, block.word, block.context))
             means = []
-            for k in range(2):
-                loss = _loss(of_pairs[k], of_words[k, block.pair_word], of_words[k + 2, block.pair_context], tokens[k] + classes, smoothing)
-                means.append(np.bincount(owner, weights=loss[block.pair], minlength=len(n)) / n)
+            for k, taught in enumerate((block.side, ~block.side)):
+                pair, word = of_pairs[k][block.pair] - own_pair * taught, of_words[k, block.word] - own_word * taught
+                total, every = of_words[k + 2, block.context] - own_context * taught, tokens[k] - block.sizes[owner] * taught
+                loss = _loss(pair, word, total, every + classes, smoothing)
+                means.append(np.bincount(owner, weights=loss, minlength=len(n)) / n)
             out.append(pa.Table.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], names=names))
         return pa.concat_tables(out)
 
