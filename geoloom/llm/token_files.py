@@ -19,6 +19,7 @@ from .shared import fresh_folder, pieces, written
 from .wavelet import from_bytes, to_bytes
 
 SHARD_TOKENS = 1 << 21
+NO_ID = -(1 << 63)
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, file string"
 TOKEN_SCHEMA = "part int, shard int, place int, doc_id long, offset long, n_tokens long, ids_crc32 long"
 
@@ -33,10 +34,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     that runs again replaces its own files by equal ones.
 
     Null texts count as empty: only the end id.  Equal doc_ids all stay, ordered
-    by their text.  Rows without a doc_id are refused.  Empty tables write none.
+    by their text.  Rows without a doc_id come first, and read back without one; the
+    least 64-bit number stands for it in the files.  Empty tables write none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.raise_error(F.lit("a document has no doc_id")).cast("long")))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     # Equal ids must meet, and stand in one order, so the range is over the id alone.
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -83,7 +85,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 doc_ids, starts, lengths, matrix = from_bytes(content)
                 ids = matrix.decode().astype("<u4")
                 spans = zip(starts.tolist(), lengths.tolist(), strict=True)
-                yield pd.DataFrame({"part": part, "shard": shard, "place": np.arange(len(doc_ids)), "doc_id": doc_ids, "offset": starts.astype("int64"), "n_tokens": lengths.astype("int64"), "ids_crc32": [zlib.crc32(ids[a : a + n].tobytes()) for a, n in spans]})
+                yield pd.DataFrame({"part": part, "shard": shard, "place": np.arange(len(doc_ids)), "doc_id": pd.arrays.IntegerArray(doc_ids.astype("int64"), doc_ids == NO_ID), "offset": starts.astype("int64"), "n_tokens": lengths.astype("int64"), "ids_crc32": [zlib.crc32(ids[a : a + n].tobytes()) for a, n in spans]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wm").load(folder)
     return files.select("path", "content").mapInPandas(read, TOKEN_SCHEMA)

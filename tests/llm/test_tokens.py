@@ -73,6 +73,28 @@ def test_wavelet_ranks_over_steps():
     assert [matrix.access(i) for i in (0, 4095, 4096, 19_999)] == [values[i] for i in (0, 4095, 4096, 19_999)]
 
 
+def test_compressed_planes_answer_over_blocks():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 700_000), 50_000).astype("<u2")
+    data = to_bytes([1], [len(ids)], ids)
+    assert len(data) < 0.7 * ids.nbytes  # planes, ranks and directory
+    matrix = from_bytes(data)[3]
+    assert (matrix.decode() == ids).all()
+    for i in rng.integers(0, len(ids), 200).tolist():
+        assert matrix.access(i) == ids[i]
+    for value in (1, 2, 77, 50_000):
+        places = np.flatnonzero(ids == value)
+        assert matrix.count(value) == len(places) and matrix.rank(value, 400_001) == (places < 400_001).sum()
+        assert [matrix.select(value, k) for k in (0, len(places) // 2, len(places) - 1)] == places[[0, len(places) // 2, -1]].tolist()
+    assert all(len(p.open) <= 8 for p in matrix.planes)
+
+
+def test_documents_without_an_id_come_first(spark):
+    table = spark.createDataFrame([(2, "a b"), (None, "c"), (-5, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in token_files(table, BPE).collect()}
+    assert rows[None].start == 0 and rows[-5].start == rows[None].n_tokens and rows[2].start == rows[-5].start + 1
+
+
 def test_files_round_trip(spark, docs, sf_dir):
     some = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     more = docs([None, "", "a b", "long " * 5000]).selectExpr("doc_id + 100000 as doc_id", "text")
