@@ -12,19 +12,23 @@ that no manifest names.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import drop_written, written
+
 LISTING = "shard string, version long, n_rows long, n_bytes long, tier int"
 
 
 class CommitConflict(RuntimeError):
-    """Another writer committed this version first."""
+    """Another writer has merged the same shards."""
 
 
 @dataclass(frozen=True)
@@ -113,7 +117,7 @@ class Store:
             raise ValueError("the columns differ from the store's")
         folder = f"data/v{base['version'] + 1:08d}-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", self.policy.arrival_rows).parquet(f"{self.folder}/{folder}")
-        return self._commit(base["version"], self.shards(base["version"]), [folder], json.loads(rows.schema.json()))
+        return self._commit(None, [folder], json.loads(rows.schema.json()))
 
     def compact(self, fan_in: int | None = None) -> int:
         """Merges each tier that has enough shards; returns the version that then holds.
@@ -135,42 +139,86 @@ class Store:
                 files = max(1, round(share / self.policy.target))
                 folders.append(f"data/v{base['version'] + 1:08d}-{uuid.uuid4().hex}")
                 self._scan(schema, paths, None).coalesce(files).write.option("compression", "zstd").parquet(f"{self.folder}/{folders[-1]}")
-        left = shards.where(~F.col("tier").isin([x.tier for x in tiers]))
-        return self._commit(base["version"], left, folders, base["schema"])
+        return self._commit(shards.where(F.col("tier").isin([x.tier for x in tiers])), folders, base["schema"])
 
-    def _commit(self, base: int, kept: DataFrame, folders: list[str], schema: dict) -> int:
-        """Lists the shards and names the next version; raises if another writer did so first."""
-        version = base + 1
+    def _listed(self, folders: list[str], schema: dict) -> DataFrame:
+        """The shards of new folders, with the rows and bytes of each."""
         new = self.spark.read.schema(StructType.fromJson(schema)).parquet(*(f"{self.folder}/{x}" for x in folders))
         sums = new.select(_shard_name().alias("shard"), F.col("_metadata.file_size").alias("n_bytes")).groupBy("shard", "n_bytes").agg(F.count("*").alias("n_rows"))
-        listed = sums.select("shard", F.lit(version).cast("long").alias("version"), "n_rows", "n_bytes", self.policy.tier(F.col("n_bytes")).alias("tier"))
-        listing = f"manifest/listing-{uuid.uuid4().hex}"
-        listed.unionByName(kept.select(listed.columns)).write.parquet(f"{self.folder}/{listing}")
+        return sums.select("shard", "n_rows", "n_bytes", self.policy.tier(F.col("n_bytes")).alias("tier"))
+
+    def _commit(self, merged: DataFrame | None, folders: list[str], schema: dict) -> int:
+        """Makes the next version of the latest one, less what was merged, with the shards of ``folders``.
+
+        Where another writer commits first, this one goes on from that version.  Only
+        if that lacks a shard which was merged here, the merge is void: an error.
+        """
+        new = written(self._listed(folders, schema), "new-shards")
+        while True:
+            base, kept = self.version(), self.shards()
+            if merged is not None:
+                if not merged.join(kept.select("shard"), "shard", "left_anti").isEmpty():
+                    raise CommitConflict(f"version {base} lacks shards that were merged")
+                kept = kept.join(merged.select("shard"), "shard", "left_anti")
+            listing = f"manifest/listing-{uuid.uuid4().hex}"
+            listed = new.withColumn("version", F.lit(base + 1).cast("long")).select("shard", "version", "n_rows", "n_bytes", "tier")
+            listed.unionByName(kept.select(listed.columns)).write.parquet(f"{self.folder}/{listing}")
+            if self._named(base + 1, {"version": base + 1, "listing": listing, "schema": schema}):
+                drop_written(new)
+                return base + 1
+            self.files.delete(self._path(listing), True)
+
+    def _named(self, version: int, entry: dict) -> bool:
+        """Whether the version's file got its name; False if another writer's has it."""
         begun, final = self._path(f"manifest/.{uuid.uuid4().hex}.begun"), self._path(f"manifest/v{version:08d}.json")
         out = self.files.create(begun, False)
-        out.write(bytearray(json.dumps({"version": version, "listing": listing, "schema": schema}).encode()))
+        out.write(bytearray(json.dumps(entry).encode()))
         out.close()
         context = self._fs.FileContext.getFileContext(self.files.getUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark._sc._gateway.new_array(getattr(self._fs, "Options$Rename"), 0)
         try:
             context.rename(self.files.makeQualified(begun), self.files.makeQualified(final), options)
-        except Exception as error:
+        except Exception:
             self.files.delete(begun, False)
             if self.files.exists(final):
-                raise CommitConflict(f"version {version} is there already") from error
+                return False
             raise
-        return version
-
-    def vacuum(self) -> int:
-        """Deletes the shards of earlier versions that the latest one lacks."""
-        latest, gone = self.version(), 0
-        now = self.shards(latest).select("shard")
-        for version in range(1, latest):
-            if not self.files.exists(self._path(f"manifest/v{version:08d}.json")):
-                continue
-            for paths in self._waves(self.shards(version).select("shard").join(now, "shard", "left_anti")):
+        return True
+
+    def _old(self, name: str, before: float) -> bool:
+        return self.files.getFileStatus(self._path(name)).getModificationTime() / 1000 <= before
+
+    def vacuum(self, keep_s: float = 7 * 86_400) -> int:
+        """Deletes what no version needs, after ``keep_s`` seconds; returns the number of shards.
+
+        Versions before the latest that were committed longer ago go, with their
+        listings and the shards that no later version has; then folders and listings
+        that no version names and that are as old, which jobs that died have left.
+        Readers of a version, and jobs that still write, have that time to end.
+        """
+        latest, before, gone = self.version(), time.time() - keep_s, 0
+        there = [v for v in range(1, latest + 1) if self.files.exists(self._path(f"manifest/v{v:08d}.json"))]
+        # A version is in use until the next one is committed.
+        old = [v for v, after in zip(there, there[1:], strict=False) if self._old(f"manifest/v{after:08d}.json", before)]
+        kept = [v for v in there if v not in old]
+        if not kept:
+            return 0
+        needed = written(reduce(DataFrame.unionByName, [self.shards(v).select("shard") for v in kept]).distinct(), "needed-shards")
+        for version in old:
+            for paths in self._waves(self.shards(version).select("shard").join(needed, "shard", "left_anti")):
                 gone += sum(bool(self.files.delete(self._path(x), False)) for x in paths)
+            listing = self.manifest(version)["listing"]
             self.files.delete(self._path(f"manifest/v{version:08d}.json"), False)
+            self.files.delete(self._path(listing), True)
+        folders = {r[0] for r in needed.select(F.element_at(F.split("shard", "/"), -2)).distinct().collect()}
+        listings = {self.manifest(v)["listing"].rpartition("/")[2] for v in kept}
+        for parent, named in (("data", folders), ("manifest", listings)):
+            if self.files.exists(self._path(parent)):
+                for x in self.files.listStatus(self._path(parent)):
+                    name = f"{parent}/{x.getPath().getName()}"
+                    if x.isDirectory() and x.getPath().getName() not in named and self._old(name, before):
+                        self.files.delete(self._path(name), True)
+        drop_written(needed)
         return gone
 
 
@@ -191,5 +239,5 @@ def sharded(docs: DataFrame, folder: str, policy: Policy | None = None, shard_as
     store = Store(docs.sparkSession, folder, policy)
     store.append(docs)
     store.compact()
-    store.vacuum()
+    store.vacuum()  # what is older than a week
     return store.read(shard_as=shard_as)

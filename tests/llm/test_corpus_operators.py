@@ -144,16 +144,72 @@ def test_store(spark, docs, tmp_path):
     assert store.compact() == 3 and store.shards().count() < len(small) and store.read().exceptAll(table).isEmpty() and table.exceptAll(store.read()).isEmpty()
     assert store.read(1).count() == 200 and store.compact() == 3
     merged = small - {r.shard for r in store.shards().collect()}
-    assert store.vacuum() == len(merged) > 10 and store.read(shard_as="shard").select("shard").distinct().count() == store.shards().count()
+    assert store.vacuum() == 0 and store.read(1).count() == 200  # readers of earlier versions have their time
+    assert store.vacuum(keep_s=-60) == len(merged) > 10 and store.read(shard_as="shard").select("shard").distinct().count() == store.shards().count()
     other = sharding.Store(spark, f"file://{tmp_path}/s")
-    with pytest.raises(sharding.CommitConflict):
-        other._commit(2, other.shards(), [x for x in {r.shard.rpartition("/")[0] for r in other.shards().collect()}], other.manifest()["schema"])
     with pytest.raises(ValueError, match="columns"):
         other.append(table.select("doc_id"))
     empty = sharding.sharded(docs(["a"]).limit(0), f"file://{tmp_path}/e")
     assert empty.count() == 0 and "text" in empty.columns
 
 
+def test_tiers_equal_a_plain_loop(spark, docs, tmp_path):
+    rng = random.Random(4)
+    policy = sharding.Policy(target=64_000, growth=4.0, fan_in=3, arrival_rows=15)
+    store = sharding.Store(spark, f"file://{tmp_path}/s", policy)
+    table = docs([prose(rng, rng.choice([20, 100, 400])) for _ in range(450)])
+    for k in range(6):
+        store.append(table.where(F.col("doc_id") % 6 == k))
+        before = store.shards().collect()
+        for r in before:
+            tier = 0
+            while r.n_bytes * policy.growth ** (tier + 1) <= policy.target:
+                tier += 1
+            assert r.tier == tier
+        n = Counter(r.tier for r in before if r.tier)
+        full = {t for t, x in n.items() if x >= policy.fan_in}
+        version = store.compact()
+        after = store.shards().collect()
+        assert {r.shard for r in before if r.tier not in full} == {r.shard for r in after if r.version < version} if full else before == after
+        for t in full:
+            n_bytes = sum(r.n_bytes for r in before if r.tier == t)
+            assert len([r for r in after if r.version == version]) <= sum(max(1, round(sum(r.n_bytes for r in before if r.tier == x) / policy.target)) for x in full) and n_bytes
+        assert sum(r.n_rows for r in after) == store.read().count() == table.where(F.col("doc_id") % 6 <= k).count()
+    assert store.read().exceptAll(table).isEmpty() and table.exceptAll(store.read()).isEmpty()
+
+
+def test_two_writers_and_a_dead_one(spark, docs, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/s"
+    one, two = sharding.Store(spark, folder, sharding.Policy(arrival_rows=2)), sharding.Store(spark, folder, sharding.Policy(arrival_rows=2))
+    one.append(docs(["a"] * 9))
+    listed = two._listed
+
+    def late(*args):
+        monkeypatch.setattr(two, "_listed", listed)
+        one.append(docs(["b"] * 3))  # commits while the other still writes
+        return listed(*args)
+
+    monkeypatch.setattr(two, "_listed", late)
+    assert two.append(docs(["c"])) == 3 and two.read().count() == 13
+    monkeypatch.setattr(two, "_listed", late)
+    assert two.compact() == 5 and two.read().count() == 16
+    merged, schema = one.shards(3), one.manifest()["schema"]
+    with pytest.raises(sharding.CommitConflict):
+        one._commit(merged, [merged.first().shard.rpartition("/")[0]], schema)
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(one, "_named", die)
+    with pytest.raises(KeyboardInterrupt):
+        one.append(docs(["dead"]))
+    names = lambda part: {p.name for p in (tmp_path / "s" / part).iterdir() if p.is_dir()}
+    kept = names("data")
+    assert two.vacuum() == 0 and names("data") == kept and two.read().count() == 16
+    two.vacuum(keep_s=-60)
+    assert two.read().count() == 16 and names("data") == {r.shard.split("/")[1] for r in two.shards().collect()} and len(names("manifest")) == 1
+
+
 def test_rules_and_hosts(spark):
     urls = {
         "http://Shop.COM/x": ("shop.com", "/x", "com/"), "https://a.example.com/en/1?q#f": ("a.example.com", "/en/1", "example.com/en/"),
