@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .probminhash import U64, hashed_words, mixed
-from .shared import pieces, written
+from .shared import pieces, small, written
 
 #: Words of a block; the text that exceeds it is the block's last.
 BLOCK_WORDS = 1 << 22
@@ -36,8 +36,6 @@ RANGE_WORDS = 1 << 21
 #: Distinct words that a task gathers before it passes their counts on.
 GATHERED = 300_000
 SMOOTHING = 4.0
-#: At most so many ids of target documents, of eight bytes, are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 8_000_000
 #: Hashes of the start of a text and of the class of all other words.
 START, OTHER = 0x8CB92BA72F3D8DD7, 0x5851F42D4C957F2D
 
@@ -239,8 +237,7 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = written(target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct(), "lm-target")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    marked = texts.join(few, texts["doc_id"] == chosen["_target"], "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
+    marked = texts.join(small(chosen, 16), texts["doc_id"] == chosen["_target"], "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target"))
     limit = max((x for x in (words and words - 1, contexts and contexts - 2) if x is not None), default=None)
     listed = None if limit is None else most_frequent(texts, limit)
     kept = None if words is None else listed[: words - 1]

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import drop_written, small, written
 
 ROUNDS_PER_STEP = 4
 MISSING = "unknown"
@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets:
         one = F.col(into)[x] == F.col(f"_{into}_{x}")
         same = one if same is None else same & one
     draw = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
-    out = marked.join(_small(ratio), same)
+    out = marked.join(small(ratio, 160), same)
     p = F.col(f"_{into}_p")
     return out.withColumn(into, F.col(into).withField("weight", F.col(f"_{into}_w")).withField("probability", p).withField("sampled", draw < p).withField("unmet", F.col(f"_{into}_unmet"))).drop(*(f"_{into}_{x}" for x in (*names, "w", "p", "unmet")))
 
@@ -153,15 +153,6 @@ def _scale(weighted: DataFrame, budget: float | None) -> float:
         scale, whole = (budget - taken) / left, n
 
 
-#: Cells up to this many rows are broadcast: some hundred bytes each.
-BROADCAST_CELLS = 100_000
-
-
-def _small(cells: DataFrame) -> DataFrame:
-    """Broadcast when the number of cells, which is counted, is within the bound."""
-    return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
-
-
 PRODUCTION_DIMS = ("source", "lang", "topic")
 #: Powers below 1: large sources, languages and topics give way to small ones.
 PRODUCTION_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.9}

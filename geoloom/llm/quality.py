@@ -86,13 +86,16 @@ def _counts(t: Column, words: Column, lines: Column) -> Column:
 def _repeated(words: Column) -> Column:
     """Words in three-word windows that a text has twice or more.
 
-    Windows are sorted by a hash and then by their words, so equal ones stand side
-    by side, and a collision of hashes can't join two that differ.
+    A text whose windows have as many hashes has none twice.  Else windows are sorted
+    by their hash and then by their words, so equal ones stand side by side, and a
+    collision of hashes can't join two that differ.
     """
 
+    def at(i: Column) -> list[Column]:
+        return [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+
     def window(i: Column) -> Column:
-        at = [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
-        return F.struct(F.xxhash64(*at).alias("h"), *(x.alias(f"w{k}") for k, x in enumerate(at)), i.alias("i"))
+        return F.struct(F.xxhash64(*at(i)).alias("h"), *(x.alias(f"w{k}") for k, x in enumerate(at(i))), i.alias("i"))
 
     def twins(ordered: Column) -> Column:
         def equal(a: Column, b: Column) -> Column:
@@ -108,8 +111,10 @@ def _repeated(words: Column) -> Column:
         gaps = F.transform(starts, lambda x, k: F.least(F.lit(3), F.coalesce(x - F.get(starts, k - 1), F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), window)
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_bound(F.sort_array(windows), lambda o: _bound(twins(o), covered)))
+    none, places = F.lit(0).cast("long"), F.sequence(F.lit(0), F.size(words) - 3)
+    several = _bound(F.sort_array(F.transform(places, window)), lambda o: _bound(twins(o), covered))
+    hashes = F.transform(places, lambda i: F.xxhash64(*at(i)))
+    return F.when(F.size(words) < 3, none).otherwise(_bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(several)))
 
 
 def base_failed(m: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, mixing, near_duplicates, pii, quality, sharding, url_filter
+from . import decontaminate, lm_scoring, mixing, near_duplicates, oracles, pii, quality, sharding, url_filter
 from .shared import fresh_folder
 from .token_files import token_files
 from .tokens import token_counts
@@ -58,7 +58,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return lm_scoring.scored(table(spark, sf_dir, "documents"), target)
+    scored = lm_scoring.scored(table(spark, sf_dir, "documents"), target)
+    return scored.select("doc_id", "n_tokens", *(F.round(x, 6).alias(x) for x in ("target_loss", "background_loss", "difference")))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle()}
+    return {
+        "op3_quality_rules": quality.oracle(),
+        "op4_near_duplicates": oracles.near_duplicates(),
+        "op8_decontaminate": oracles.decontaminate(),
+        "op9_cross_entropy_difference": oracles.cross_entropy_difference(),
+    }

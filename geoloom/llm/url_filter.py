@@ -133,7 +133,7 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES, key: str = "page_id"
     if its score reaches the threshold.  Null and empty URLs have no host, path or
     rule, and the score of an empty text; very long ones are scored in whole.
     Repeated rows are judged alike.  Without URLs of one kind that model is
-    uniform.  Columns of these five names are replaced; others stay.
+    uniform, and an empty table gives an empty result.  Columns of these five names are replaced; others stay.
     """
     host, path = host_and_path(url)
     out = pages.drop(*(x for x in ("host", "path", "rule", "score", "verdict") if x not in (key, url)))
