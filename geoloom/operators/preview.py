@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+import zlib
+
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..tables import exists, writing
+
 COLUMNS, THUMB_WIDTH, THUMB_HEIGHT = 4, 320, 180
 
 
@@ -36,16 +42,76 @@ def collage_size(n: int) -> tuple[int, int]:
     return COLUMNS * THUMB_WIDTH, -(-n // COLUMNS) * THUMB_HEIGHT
 
 
+#: 3 x 5 signs of the label, a row of bits each.
+GLYPHS = {
+    "0": (7, 5, 5, 5, 7), "1": (2, 6, 2, 2, 7), "2": (7, 1, 7, 4, 7), "3": (7, 1, 7, 1, 7), "4": (5, 5, 7, 1, 1), "5": (7, 4, 7, 1, 7), "6": (7, 4, 7, 5, 7),
+    "7": (7, 1, 1, 1, 1), "8": (7, 5, 7, 5, 7), "9": (7, 5, 7, 1, 7), ".": (0, 0, 0, 0, 2), ",": (0, 0, 0, 2, 4), "-": (0, 0, 7, 0, 0), " ": (0, 0, 0, 0, 0),
+}
+LABEL_HEIGHT, ZOOM = 22, 2
+
+
+def fitted(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An image (rows, columns, red green blue) in the middle of black, scaled down if it is larger."""
+    scale = min(1.0, width / pixels.shape[1], height / pixels.shape[0])
+    w, h = max(1, round(pixels.shape[1] * scale)), max(1, round(pixels.shape[0] * scale))
+    rows = np.minimum(((np.arange(h) + 0.5) / scale).astype(int), pixels.shape[0] - 1)
+    columns = np.minimum(((np.arange(w) + 0.5) / scale).astype(int), pixels.shape[1] - 1)
+    out = np.zeros((height, width, 3), dtype=np.uint8)
+    y, x = (height - h) // 2, (width - w) // 2
+    out[y : y + h, x : x + w] = pixels[rows[:, None], columns]
+    return out
+
+
+def label(text: str, width: int) -> np.ndarray:
+    """A black strip with the signs of a place in white."""
+    strip = np.zeros((LABEL_HEIGHT, width, 3), dtype=np.uint8)
+    for k, sign in enumerate(text[: (width - 8) // (4 * ZOOM)]):
+        bits = np.array([[row >> 2 & 1, row >> 1 & 1, row & 1] for row in GLYPHS[sign]], dtype=np.uint8)
+        ink = np.kron(bits, np.ones((ZOOM, ZOOM), dtype=np.uint8)).astype(bool)
+        strip[5 : 5 + ink.shape[0], 4 + 4 * ZOOM * k : 4 + 4 * ZOOM * k + ink.shape[1]][ink] = 255
+    return strip
+
+
+def png(pixels: np.ndarray) -> bytes:
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = np.concatenate([np.zeros((len(pixels), 1), np.uint8), pixels.reshape(len(pixels), -1)], axis=1)
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def _decoded(row: Row) -> np.ndarray | None:
+    """Red, green and blue of a row of Spark's image source, which has blue first."""
+    if row.height < 0:
+        return None
+    pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+    return np.repeat(pixels, 3, axis=2) if row.nChannels == 1 else pixels[:, :, 2::-1]
+
+
+def collage(placed: DataFrame, n: int) -> np.ndarray:
+    """The thumbnails of ``placed`` (x, y, image_path, lat, lon) with their places; n slots in all.
+
+    Images are decoded by Spark, a few at a time on the driver, which holds the
+    canvas.  Broken or missing ones leave their slot blank.
+    """
+    width, height = collage_size(n)
+    canvas = np.full((height, width, 3), 255, dtype=np.uint8)
+    rows, spark = placed.select("x", "y", "image_path", "lat", "lon").collect(), placed.sparkSession  # n rows at most
+    for row in rows:
+        if not exists(spark, row.image_path):
+            continue
+        found = spark.read.format("image").option("dropInvalid", "false").load(row.image_path).select("image.*").first()
+        pixels = _decoded(found) if found else None
+        if pixels is None:
+            continue
+        slot = canvas[row.y : row.y + THUMB_HEIGHT, row.x : row.x + THUMB_WIDTH]
+        slot[:] = fitted(pixels, THUMB_WIDTH, THUMB_HEIGHT)
+        slot[-LABEL_HEIGHT:] = label(f"{float(row.lat):.4f}, {float(row.lon):.4f}", THUMB_WIDTH)
+    return canvas
+
+
 def render(placed: DataFrame, n: int, out: str) -> None:
-    """Draws the collage on the driver; needs Pillow."""
-    try:
-        from PIL import Image, ImageDraw, ImageOps
-    except ImportError as error:
-        raise RuntimeError("rendering needs Pillow; layout() gives the slots without it") from error
-    canvas = Image.new("RGB", collage_size(n), "white")
-    draw = ImageDraw.Draw(canvas)
-    for row in placed.select("x", "y", "image_path", "lat", "lon").collect():  # n rows at most
-        with Image.open(row.image_path) as image:
-            canvas.paste(ImageOps.pad(image.convert("RGB"), (THUMB_WIDTH, THUMB_HEIGHT - 20)), (row.x, row.y))
-        draw.text((row.x + 4, row.y + THUMB_HEIGHT - 16), f"{float(row.lat):.5f}, {float(row.lon):.5f}", fill="black")
-    canvas.save(out)
+    """Draws the collage and writes it as a PNG file."""
+    with writing(placed.sparkSession, out) as write:
+        write(png(collage(placed, n)))

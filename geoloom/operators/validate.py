@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ISSUES, REQUIRED
-from ..tables import Scratch
+from ..tables import Scratch, writing
 from .grid import AREA
 
 
@@ -64,7 +63,7 @@ def issues(found: DataFrame) -> DataFrame:
     return found.select(F.explode(kinds).alias("category"), "row_id", "ord")
 
 
-def write_report(path: str | Path, manifest: DataFrame, images: DataFrame | None = None, min_bytes: int = 10_000, order: str | None = None) -> dict:
+def write_report(path: str, manifest: DataFrame, images: DataFrame | None = None, min_bytes: int = 10_000, order: str | None = None) -> dict:
     """Writes the summary, and the ids of every issue by kind in row order, as one JSON file; returns the summary.
 
     Lists are whole.  They are streamed from Spark into the file, partition by
@@ -74,15 +73,13 @@ def write_report(path: str | Path, manifest: DataFrame, images: DataFrame | None
     with Scratch(manifest.sparkSession, "validate") as keep:
         found = keep(flags(manifest, images, min_bytes, order), "flags")
         counts = summary(found, len(columns)).first().asDict()
-        target = Path(path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        with target.open("w", encoding="utf-8") as out:
-            out.write('{\n  "summary": ' + json.dumps(counts) + ',\n  "issues": {')
+        with writing(manifest.sparkSession, path) as out:
+            out(('{\n  "summary": ' + json.dumps(counts) + ',\n  "issues": {').encode())
             for n, kind in enumerate(ISSUES):
                 listed = columns if not n else (r.row_id for r in found.where(kind).orderBy("ord").select("row_id").toLocalIterator())
-                out.write(("," if n else "") + f'\n    "{kind}": [')
+                out((("," if n else "") + f'\n    "{kind}": [').encode())
                 for k, entry in enumerate(listed):
-                    out.write((", " if k else "") + json.dumps(entry, ensure_ascii=False))
-                out.write("]")
-            out.write("\n  }\n}\n")
+                    out(((", " if k else "") + json.dumps(entry, ensure_ascii=False)).encode())
+                out(b"]")
+            out(b"\n  }\n}\n")
     return counts

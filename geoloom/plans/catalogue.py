@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import FetchOptions
 from ..functions import scalar
 from ..operators import grid, parse, preview, records, retrieval, spatial, validate
-from ..sources import download
+from ..session import healthy
+from ..sources import download, images, raw_store
+from ..sources.connector import scan_tiles
+from ..tables import fresh_folder, written
+from . import jobs, rehearsal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -400,9 +406,195 @@ def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", *(F.round(x, 6).alias(x) for x in ("lat", "lon", "confidence")))
 
 
-@_query("select 1::int as one")
+@_query("select 200::int as code, 'ok' as status")
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT 1 AS one")
+    code, body = healthy(spark)
+    return spark.createDataFrame([(code, body["status"])], "code int, status string")
+
+
+@_query(f"""with s as (select a.vec_id as query_id, b.vec_id, {_DOT_SQL} as w from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by w desc, vec_id) as rank from s)
+select query_id, 'estimated from ' || count(*) || ' similar images' as explanation from r where rank <= 3 group by query_id""")
+def locate_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lat, lon = dense("vec_id")
+    found = retrieval.locate(retrieval.top_k(v.where("vec_id % 100 = 0"), v, 3), v.select("vec_id", lat.alias("lat"), lon.alias("lon")))
+    return found.select("query_id", F.regexp_replace("explanation", " with confidence [01]\\.[0-9]{2}$", "").alias("explanation"))
+
+
+# The world outside, rehearsed -----------------------------------------------
+
+_FETCH = FetchOptions(limit=3, pause_sec=0, retries=2, backoff_sec=0)
+_ITEMS_SQL = """i as (select t as tile_no, k as item_no, case when k > 3 then 'i' || (t - 1) || '.' || (k - 3) else 'i' || t || '.' || k end as id, 1 + k::double / 4 as lat, t::double / 100 as lon, 'u' || k as image_url from range(24) as r(t), range(7) as q(k) where k < t % 7 and t % 11 <> 5)"""
+_FIRST_SQL = f"{_ITEMS_SQL}, f as (select *, row_number() over (partition by id order by tile_no, item_no) as n from i)"
+
+
+def _scanned(spark: SparkSession, provider: str) -> DataFrame:
+    plan = list(enumerate(grid.boxes(rehearsal.tiles(spark))))
+    return scan_tiles(spark, provider, plan, _FETCH, "hidden", 3, rehearsal.Providers)
+
+
+@_query(f"with {_ITEMS_SQL} select tile_no, item_no, id, lat, lon, image_url, case when tile_no > 0 then tile_no::varchar end as sequence_id from i")
+def scan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursor pages of provider A, with retries."""
+    return parse.parse_nested(_scanned(spark, "nested").where("json is not null")).select("tile_no", "item_no", "id", "lat", "lon", "image_url", "sequence_id")
+
+
+@_query(f"with {_ITEMS_SQL} select tile_no, item_no, id, lat, lon, image_url, 'd' || tile_no as \"timestamp\" from i")
+def scan_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pages of provider B, with retries."""
+    return parse.parse_flat(_scanned(spark, "flat").where("json is not null")).select("tile_no", "item_no", "id", "lat", "lon", "image_url", "timestamp")
+
+
+@_query("select t as tile_no, 'OSError: status 404 for https://provider/items?' as error from range(24) as r(t) where t % 11 = 5")
+def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that fail, isolated; no token is told."""
+    return _scanned(spark, "nested").where("error is not null").select("tile_no", "error")
+
+
+def _ingested(spark: SparkSession) -> tuple[str, list[tuple]]:
+    store = fresh_folder(spark, "rehearsed-store")
+    every = rehearsal.tiles(spark)
+    plans = (every.where("tile_no < 10"), every, every)
+    return store, [(k, *jobs.ingest(spark, "flat", store, _FETCH, plan, concurrent=3, connect=rehearsal.Providers, step_tiles=7)) for k, plan in enumerate(plans)]
+
+
+@_query(f"with {_FIRST_SQL}, a as (select count(*) filter (tile_no < 10) as x, count(*) as y from f where n = 1) select * from (select 0::bigint as run, x as new, x as total, 1::bigint as failed from a union all select 1, y - x, y, 2 from a union all select 2, 0, y, 2 from a)")
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs into one store: what is new, the total, and the tiles that failed."""
+    store, runs = _ingested(spark)
+    failed = jobs.failed_tiles(spark, store).groupBy(F.col("run").cast("long").alias("run")).agg(F.count("*").alias("failed"))
+    return spark.createDataFrame(runs, "run long, new long, total long").join(failed, "run", "left").fillna(0, ["failed"])
+
+
+@_query(f"with {_FIRST_SQL} select row_number() over (order by case when tile_no < 10 then 0 else 1 end, tile_no, item_no) - 1 as ord, id, lat, lon from f where n = 1")
+def ingest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's records in the order in which the runs found them, first of each id."""
+    store, _ = _ingested(spark)
+    return jobs.stored_records(spark, store).select(F.col("ord").cast("long").alias("ord"), "id", "lat", "lon")
+
+
+@_query("""select row_number() over (order by n_nationkey) - 1 as ord, 'n' || n_nationkey as id, 50 + n_nationkey::double / 4 as lat, case when n_nationkey % 5 <> 0 then -n_nationkey::double / 8 end as lon, case when n_nationkey % 2 = 0 then 'é ' || n_name end as url,
+'{"id":"n' || n_nationkey || '","lat":' || case when n_nationkey % 3 = 0 then '"' || (50 + n_nationkey::double / 4) || '"' else (50 + n_nationkey::double / 4)::varchar end || ',"lon":' || coalesce(case when n_nationkey % 5 <> 0 then (-n_nationkey::double / 8)::varchar end, 'null') || ',"url":' || coalesce(case when n_nationkey % 2 = 0 then '"é ' || n_name || '"' end, 'null') || '}' as raw_json from nation""")
+def store_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array written and read back: order, places given as text, the raw text."""
+    rows = _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25, whatever the scale
+    place = lambda k, x: str(x) if k % 3 == 0 else x
+    payload = [{"id": f"n{r.n_nationkey}", "lat": place(r.n_nationkey, 50 + r.n_nationkey / 4), "lon": -r.n_nationkey / 8 if r.n_nationkey % 5 else None, "url": f"é {r.n_name}" if r.n_nationkey % 2 == 0 else None} for r in rows]
+    path = f"{fresh_folder(spark, 'rehearsed-array')}.json"
+    raw_store.write_array(spark, path, payload)
+    return raw_store.read_records(spark, path).select("ord", "id", "lat", "lon", "url", "raw_json")
+
+
+@_query("select 0::bigint as rows, 4::bigint as given")
+def store_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing array file has no rows, and a missing small one its default."""
+    path = fresh_folder(spark, "nowhere")
+    return raw_store.read_items(spark, path).agg(F.count("*").alias("rows"), F.lit(raw_store.read_json(path, 4)).cast("long").alias("given"))
+
+
+@_query(f"""select row_number() over (order by rank, k) - 1 as ord, source, k::varchar as source_image_id from (
+select 0 as rank, 'mapillary' as source, o_orderkey as k from orders where o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0 and o_orderkey % 10 not in (1) and (o_orderkey % 10 <> 6)
+union all select 0, 'mapillary', o_orderkey from orders where o_orderkey % 17 <> 0 and o_orderkey % 19 <> 0 and o_orderkey % 10 = 1
+union all select 1, 'kartaview', c_custkey from customer where c_custkey % 17 <> 0 and c_custkey % 19 <> 0 and c_custkey % 10 <> 6)""")
+def manifest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider A's records first, each source in its own order, numbered densely."""
+    nested, flat = _raw(_t(spark, sf_dir, "orders"), "o_orderkey"), _raw(_t(spark, sf_dir, "customer"), "c_custkey")
+    return jobs.build_manifest(spark, nested, flat, radius_m=0.0).select(F.col("ord").cast("long").alias("ord"), "source", "source_image_id")
+
+
+@_query("""select o_orderkey::varchar as source_image_id, case when o_orderkey % 2 = 0 then '{"z":1,"id":"' || o_orderkey || '","a":0.0}' else '{"id":"' || o_orderkey || '","lat":1.5,"lon":2.5,"url":"u"}' end as metadata_json from orders""")
+def manifest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw text where there is one, else the raw fields, nulls left out."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 2 == 0, F.concat(F.lit('{"z":1,"id":"'), k, F.lit('","a":0.0}')))
+    rows = _t(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon"), F.lit("u").alias("url"), raw.alias("raw_json"), F.lit("mapillary").alias("source"))
+    return records.normalize(rows).select("source_image_id", "metadata_json")
+
+
+@_query("select event_id as ord, event_id % 2 = 0 as lat_known, event_id % 2 = 0 as normal from events")
+def parse_null_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[lon, null] passes the parser, whose guard is the length, and not the normaliser."""
+    k = F.col("event_id")
+    json = F.concat(F.lit('{"id":'), k, F.lit(',"url":"u","geometry":{"coordinates":[2.5,'), F.when(k % 2 == 0, F.lit("1.5")).otherwise(F.lit("null")), F.lit("]}}"))
+    found = parse.parse_nested(_t(spark, sf_dir, "events").select(k.alias("ord"), json.alias("json")))
+    kept = records.normalize(found.withColumn("source", F.lit("mapillary")), keep=("ord",)).select(F.col("ord").alias("_ord"))
+    return found.join(kept, F.col("ord") == F.col("_ord"), "left").select("ord", F.col("lat").isNotNull().alias("lat_known"), F.col("_ord").isNotNull().alias("normal"))
+
+
+@_query("select a as lat_step, b as lon_step, a * b <= 0.01::double as fits from (values (0.1::double, 0.1::double), (0.05, 0.2), (0.01, 0.01), (0.2, 0.2), (0.02, 0.5), (0.1, 0.05)) as t(a, b)")
+def grid_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area guard compares the product as it rounds: 0.1 by 0.1 doesn't fit."""
+    def fits(a: float, b: float) -> bool:
+        try:
+            grid.check_grid(0.0, 1.0, 0.0, 1.0, a, b)
+        except ValueError:
+            return False
+        return True
+
+    steps = [(0.1, 0.1), (0.05, 0.2), (0.01, 0.01), (0.2, 0.2), (0.02, 0.5), (0.1, 0.05)]
+    return spark.createDataFrame([(a, b, fits(a, b)) for a, b in steps], "lat_step double, lon_step double, fits boolean")
+
+
+@_query("""with d as (select page_id, case page_id % 5 when 0 then 'missing_url' when 1 then 'download_failed' when 2 then 'ok' when 3 then 'ok' else 'download_failed' end as status from pages)
+select status, count(*)::bigint as n, count(*) filter (status = 'ok')::bigint as files, coalesce(sum(100 + page_id % 50) filter (status = 'ok'), 0)::bigint as n_bytes from d group by status""")
+def download_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads run twice: missing urls, errors, files at the second attempt, too small ones; what lies there in the end."""
+    k = F.col("page_id")
+    size = (100 + k % 50).cast("string")
+    url = F.when(k % 5 == 1, F.concat(F.lit("bad-"), size)).when(k % 5 == 2, F.concat(F.lit("late-"), size)).when(k % 5 == 3, F.concat(F.lit("good-"), size)).when(k % 5 == 4, F.lit("good-7"))
+    rows = _t(spark, sf_dir, "pages").select(k.cast("string").alias("id"), url.alias("download_url"), F.concat(k.cast("string"), F.lit(".jpg")).alias("image_path"))
+    folder = fresh_folder(spark, "rehearsed-files")
+    outcomes = [written(download.download_all(rows, folder.removeprefix("file://"), rehearsal.Files, retries=n, backoff_sec=0, min_bytes=100), "outcomes") for n in (2, 1)]
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([0-9]+)[.]jpg$", 1).alias("_id"), "length")
+    found = outcomes[1].join(files, F.col("id") == F.col("_id"), "left")
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.count("length").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+_FILES_SQL = "f as (select k, k % 4 <> 3 as there, k % 3 = 1 as cut from range(12) as r(k))"
+
+
+@_query(f"with {_FILES_SQL} select k || '.png' as name, cut as broken from f where there")
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole and cut image files of a folder."""
+    folder = fresh_folder(spark, "rehearsed-images")
+    rehearsal.images(spark, folder)
+    return images.scan(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "broken")
+
+
+@_query(f"with {_FILES_SQL} select k || '.png' as name, case when cut then -1 else 400 end::int as width, case when cut then -1 else 40 + 10 * k end::int as height, case when cut then 'broken' when 40 + 10 * k < 100 then 'small' when 400 > 3 * (40 + 10 * k) then 'narrow' end as problem from f where there")
+def upload_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with uploaded images."""
+    folder = fresh_folder(spark, "rehearsed-images")
+    rehearsal.images(spark, folder)
+    found = images.quality(spark, folder, least_side=100)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), *(F.coalesce(x, F.lit(-1)).alias(x) for x in ("width", "height")), "problem")
+
+
+@_query(f"with {_FILES_SQL} select 'missing_images' as category, k::varchar as row_id from f where not there union all select 'broken_images', k::varchar from f where there and cut union all select 'too_small', k::varchar from f where there and cut union all select 'missing_fields', x from (values ('missing_column:source'), ('missing_column:source_image_id'), ('missing_column:captured_at')) as t(x) union all select 'invalid_coords', k::varchar from f where k % 5 = 0")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report file of a manifest with images, read back."""
+    folder = fresh_folder(spark, "rehearsed-report")
+    rehearsal.images(spark, f"{folder}/images")
+    k = F.col("id")
+    manifest = spark.range(12).select(k.cast("string").alias("id"), F.when(k % 5 != 0, F.lit(55.75)).alias("lat"), F.lit(37.61).alias("lon"), F.concat(F.lit(f"{folder}/images/"), k, F.lit(".png")).alias("image_path"))
+    validate.write_report(f"{folder}/report.json", manifest, images.scan(spark, f"{folder}/images"), min_bytes=61)
+    whole = spark.read.text(f"{folder}/report.json", wholetext=True)
+    return whole.select(F.explode(F.from_json(F.get_json_object("value", "$.issues"), "map<string,array<string>>")).alias("category", "ids")).select("category", F.explode("ids").alias("row_id"))
+
+
+@_query("select 1280::int as width, 540::int as height, 1::int as channels_equal, sum(case when k % 4 <> 3 and k % 3 <> 1 then 1 else 0 end)::bigint as drawn from range(12) as r(k)")
+def collage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collage of twelve rows, drawn, written as an image and read back by Spark."""
+    folder = fresh_folder(spark, "rehearsed-collage")
+    rehearsal.images(spark, f"{folder}/images")
+    k = F.col("id")
+    rows = spark.range(12).select(k.cast("int").alias("idx"), F.lit("55.75").alias("lat"), F.lit("37.61").alias("lon"), F.concat(F.lit(f"{folder}/images/"), k, F.lit(".png")).alias("image_path"))
+    placed = preview.layout(rows)
+    preview.render(placed, 12, f"{folder}/out/preview.png")
+    image = spark.read.format("image").load(f"{folder}/out").select("image.*").first()
+    pixels = np.frombuffer(image.data, np.uint8).reshape(image.height, image.width, image.nChannels)
+    drawn = sum(bool((pixels[y * 180 + 158 : y * 180 + 180, x * 320 : x * 320 + 320] == 0).any()) for y in range(3) for x in range(4))
+    return spark.createDataFrame([(image.width, image.height, int((pixels[0, 0] == pixels[0, 0, 0]).all()), drawn)], "width int, height int, channels_equal int, drawn long")
 
 
 def queries() -> dict[str, Query]:

@@ -18,8 +18,8 @@ from ..operators.grid import boxes, default_tiles
 from ..schemas import MANIFEST
 from ..sources import download, images
 from ..sources.connector import SCHEMA, http_session, scan_tiles
-from ..sources.raw_store import exists, read_records
-from ..tables import drop_written, written
+from ..sources.raw_store import read_records
+from ..tables import drop_written, exists, written
 
 
 log = logging.getLogger(__name__)

@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PARSED
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from ..tables import exists, writing
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +57,12 @@ def write_json(path: str | Path, payload: object) -> None:
     target.write_text(json.dumps(payload, ensure_ascii=False, indent=2), encoding="utf-8")
 
 
+def write_array(spark: SparkSession, path: str, payload: object) -> None:
+    """As :func:`write_json`, but through the file system that owns the path."""
+    with writing(spark, path) as out:
+        out(json.dumps(payload, ensure_ascii=False).encode())
+
+
 def read_json(path: str | Path, default: object) -> object:
     """A small JSON file on the driver; the default where it is missing."""
     target = Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records, spatial
-from ..sources.raw_store import exists
+from ..tables import exists
 
 
 def decide(accepted: DataFrame, arriving: DataFrame, radius_m: float = 7.0, max_per_cluster: int = 2) -> DataFrame:

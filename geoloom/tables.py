@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +46,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _saved(df, fresh_folder(df.sparkSession, name))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder through the file system that owns it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def writing(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """Writes one file from the driver through the file system that owns it; parents are made.
+
+    The file has its name only when the block has ended well.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    begun = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.begun")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, held = files.create(begun, True), bytearray()
+
+    def write(data: bytes) -> None:
+        held.extend(data)
+        if len(held) > 1 << 16:
+            out.write(held)
+            held.clear()
+
+    try:
+        yield write
+        out.write(held)
+    except BaseException:
+        out.close()
+        files.delete(begun, False)
+        raise
+    out.close()
+    files.delete(target, False)
+    files.rename(begun, target)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the folder of a table from :func:`written` that nobody reads again."""
     files = df.inputFiles()
