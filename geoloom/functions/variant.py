@@ -42,14 +42,26 @@ class Value:
         return F.coalesce(self.kind != "VOID", F.lit(False))
 
 
-def with_values(rows: DataFrame, item: str, paths: dict[str, str]) -> tuple[DataFrame, dict[str, Value]]:
-    """Adds the values at these paths of a variant column; gives them by name."""
-    rows = rows.withColumns({f"_v_{n}": F.try_variant_get(F.col(item), f"$.{p}", "variant") for n, p in paths.items()})
+def with_values(rows: DataFrame, json: str, paths: dict[str, str]) -> tuple[DataFrame, dict[str, Value]]:
+    """Adds the values at these paths of a JSON text, a field or one of its fields; gives them by name.
+
+    The text is read once, and only these fields become variants.  A text that is
+    no object, or no JSON, has none of them.
+    """
+    fields = list(dict.fromkeys(p.partition(".")[0] for p in paths.values()))
+    rows = rows.withColumn("_item", F.from_json(json, ", ".join(f"`{x}` variant" for x in fields)))
+
+    def at(path: str) -> Column:
+        field, _, inner = path.partition(".")
+        value = F.col("_item")[field]
+        return F.try_variant_get(value, f"$.{inner}", "variant") if inner else value
+
+    rows = rows.withColumns({f"_v_{n}": at(p) for n, p in paths.items()}).drop("_item")
     rows = rows.withColumns({f"_s_{n}": F.schema_of_variant(f"_v_{n}") for n in paths})
 
     def kind(n: str) -> Column:
         name = F.col(f"_s_{n}")
-        return F.when(name.isin("STRING", "BOOLEAN", "VOID"), name).when(F.substring(name, 1, 6) == "OBJECT", "OBJECT").when(F.substring(name, 1, 5) == "ARRAY", "ARRAY").when(name.isNotNull(), "NUMBER")
+        return F.when(name.isin("STRING", "BOOLEAN", "VOID"), name).when(name.startswith("OBJECT"), "OBJECT").when(name.startswith("ARRAY"), "ARRAY").when(name.isNotNull(), "NUMBER")
 
     rows = rows.withColumns({f"_k_{n}": kind(n) for n in paths})
     return rows, {n: Value(F.col(f"_v_{n}"), F.col(f"_k_{n}")) for n in paths}

@@ -56,8 +56,7 @@ def flat_columns(v: dict[str, Value]) -> dict[str, Column]:
 
 def _parsed(items: DataFrame, json: str, paths: dict[str, str], columns) -> DataFrame:
     others = [x for x in items.columns if x != json]
-    rows = items.select(*others, F.try_parse_json(json).alias("_item")).where(F.substring(F.schema_of_variant("_item"), 1, 6) == "OBJECT")
-    rows, values = with_values(rows, "_item", paths)
+    rows, values = with_values(items, json, paths)
     # A generator, so that later filters don't copy these expressions below the projections.
     return rows.select(*others, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns(values).items())))))
 
