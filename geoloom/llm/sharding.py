@@ -90,7 +90,7 @@ class Store:
             found = some if found is None else found.unionByName(some)
         if found is None:
             found = self.spark.createDataFrame([], schema)
-            found = found.withColumn(shard_as, F.lit(None).cast("string")) if shard_as else found
+            found = found.drop(shard_as).withColumn(shard_as, F.lit(None).cast("string")) if shard_as else found
         return found
 
     def _scan(self, schema: StructType, paths: list[str], shard_as: str | None) -> DataFrame:

@@ -112,14 +112,16 @@ def _bin(score: Column) -> Column:
 def calibrated(scored: DataFrame) -> int:
     """The least bin to accept: it minimises the sum of both error rates.
 
-    ``scored`` has score and accepted.  Ties go to the bin nearest 0, then to the
-    lower one; without URLs of both kinds it is 0.  At most 2,001 rows of counts
-    are compared.
+    ``scored`` has score and accepted.  All bins between two that occur have equal
+    errors.  Ties go to the bin nearest 0, where both models find a URL as likely, then
+    to the lower one; without URLs of both kinds it is 0.  At most 2,001 rows of
+    counts are compared.
     """
     yes, no = F.col("accepted").cast("long"), (~F.col("accepted")).cast("long")
     bins = scored.groupBy(_bin(F.col("score")).alias("bin")).agg(F.sum(yes).alias("yes"), F.sum(no).alias("no"))
     before, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    errors = bins.select("bin", F.coalesce(F.sum("yes").over(before), F.lit(0)).alias("missed"), F.coalesce(F.sum("no").over(before), F.lit(0)).alias("caught"), F.sum("yes").over(every).alias("all_yes"), F.sum("no").over(every).alias("all_no"))
+    lowest = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.lit(-EDGE))
+    errors = bins.select(F.least("bin", F.greatest(F.lit(0), lowest)).alias("bin"), F.coalesce(F.sum("yes").over(before), F.lit(0)).alias("missed"), F.coalesce(F.sum("no").over(before), F.lit(0)).alias("caught"), F.sum("yes").over(every).alias("all_yes"), F.sum("no").over(every).alias("all_no"))
     rate = F.col("missed") / F.col("all_yes") + (F.col("all_no") - F.col("caught")) / F.col("all_no")
     best = errors.where("all_yes > 0 and all_no > 0").orderBy(rate, F.abs("bin"), "bin").select("bin").first()
     return int(best[0]) if best else 0

@@ -311,6 +311,90 @@ def test_pipeline(spark, sf_dir):
     assert all(whole[r.doc_id] == r.text for r in rows)
 
 
+def test_stages_take_odd_rows(spark, docs, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns, no rows at all."""
+    rng = random.Random(12)
+    prose_of = lambda n: " ".join(rng.choice(["the", "of", "and", "stone", "river", "cloud", "lamp"]) + rng.choice(["", "s", "y", "en"]) + str(rng.randrange(40)) * (rng.random() < 0.5) for _ in range(n))
+    long = prose_of(30_000)
+    rows = [(k, prose_of(80), "en", f"s{k % 3}", 1) for k in range(60)] + [(k, None, "en", "s0", 0) for k in range(60, 63)] + [(63, "", None, None, None), (64, long, "de", None, None), (None, prose_of(90), None, None, None), (None, None, None, None, None)]
+    rows += [rows[0], rows[0], (1, prose_of(80), "fr", "s9", 2), (2, None, None, None, None)]
+    names = ["_gone", "_place", "_id", "mix", "quality", "contamination", "shard", "key", "text_", "word"]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([(1, rows[5][1]), (None, " ".join(rows[6][1].split()[:12])), (3, None), (4, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = {r for r in table.collect()}
+    for empty in (False, True):
+        now = table.limit(0) if empty else table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name == "compact_shards":
+                assert out.columns == [x for x in table.columns if x != "shard"] + ["shard"]
+                assert out.drop("shard").exceptAll(now.drop("shard")).isEmpty() and now.drop("shard").exceptAll(out.drop("shard")).isEmpty()
+                continue
+            assert out.columns == table.columns
+            found = out.collect()
+            assert set(found) <= given and bool(found) != empty
+            if name == "near_duplicates" and not empty:
+                ids = [r.doc_id for r in found if r.doc_id is not None]
+                assert len(ids) == len(set(ids))
+            if name == "decontaminate" and not empty:
+                assert not {5, 6} & {r.doc_id for r in found}
+            now = out
+
+
+def test_mix_equals_plain_raking(spark, sf_dir):
+    """Weights and probabilities of the query, from its own cells, by a loop."""
+    rows = mixing.digest(mixing.production_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))).collect()
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.tokens
+    amount, weight = sum(cells.values()), dict(cells)
+    goals = []
+    for k, power in enumerate(mixing.PRODUCTION_TARGETS.values()):
+        sums = defaultdict(float)
+        for c, n in cells.items():
+            sums[c[k]] += n
+        whole = sum(n**power for n in sums.values())
+        goals.append({v: amount * n**power / whole for v, n in sums.items()})
+    for _ in range(2_000):
+        for k, goal in enumerate(goals):
+            have = defaultdict(float)
+            for c, w in weight.items():
+                have[c[k]] += w
+            weight = {c: w * goal[c[k]] / have[c[k]] for c, w in weight.items()}
+    for r in rows:
+        assert r.weight == pytest.approx(weight[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic], rel=5e-3)
+    free = [r for r in rows if r.probability < 1]
+    scale = {round(r.probability / r.weight, 6) for r in free}
+    assert max(scale) - min(scale) < 1e-5 and sum(r.tokens * r.probability for r in rows) == pytest.approx(mixing.PRODUCTION_BUDGET * amount)
+    draws = sum(r.sampled for r in rows)
+    assert abs(draws - sum(r.probability for r in rows)) < 4 * math.sqrt(sum(r.probability * (1 - r.probability) for r in rows) + 1)
+
+
+def test_threshold_of_urls_equals_a_plain_search(spark):
+    rng = random.Random(2)
+    rows = [(rng.gauss(0.2 if k % 3 else -0.3, 0.4), bool(k % 3)) for k in range(400)] + [(99.0, True), (-99.0, False)]
+    frame = spark.createDataFrame(rows, "score double, accepted boolean")
+    bins = [(min(max(math.floor(s * url_filter.BINS), -url_filter.EDGE), url_filter.EDGE), a) for s, a in rows]
+    yes, no = sum(a for _, a in bins), sum(not a for _, a in bins)
+    error = {b: sum(a and x < b for x, a in bins) / yes + sum(not a and x >= b for x, a in bins) / no for b in range(-url_filter.EDGE, max(x for x, _ in bins) + 1)}
+    assert url_filter.calibrated(frame) == min(error, key=lambda b: (round(error[b], 12), abs(b), b))
+    assert url_filter.calibrated(frame.where("accepted")) == 0
+
+
+def test_urls_are_told_apart_on_held_out_ones(spark):
+    """Ruled urls train; unruled ones of the same two styles are judged."""
+    rng = random.Random(7)
+    good = lambda: "-".join(rng.choices(["garden", "history", "music", "travel", "science"], k=3))
+    bad = lambda: "".join(rng.choices("xzqjk0123456789", k=18))
+    rows = [f"http://a{k}.com/{good()}" for k in range(300)] + [f"http://b{k}.net/es/{bad()}" for k in range(300)]
+    held = [f"http://c{k}.org/{good()}" for k in range(60)] + [f"http://d{k}.org/{bad()}" for k in range(60)]
+    table = spark.createDataFrame(list(enumerate(rows + held)), "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in url_filter.judged(table).collect()}
+    right = sum(verdicts[len(rows) + k] == ("allow" if k < 60 else "block") for k in range(120))
+    assert right >= 0.95 * 120
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(x[2:].split("_")[0]) for x in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
