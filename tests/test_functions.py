@@ -17,7 +17,7 @@ def one(spark, column):
 
 
 def test_record_ids_match_the_known_ones(spark):
-    known = {"mapillary:m1": "88b94489-7b75-5fe2-8c62-16e4cce2f84b", "kartaview:m1": "6d09adf4-83a2-5d20-bf95-512aa2538b85", "mapillary:img-123": "a0002e34-aa23-5e5a-b167-a147e21ba560"}
+    known = {"mapillary:a5": "06ca0463-356c-5a73-99ce-59bf122c6dd8", "kartaview:a5": "2bc69f59-a74d-5454-9e2f-ced62c5add35", "kartaview:é-9": "35694a05-3c12-5beb-adf7-d9d877bc16d4"}
     rows = spark.createDataFrame([(k,) for k in known], "k string").select("k", scalar.uuid5("k").alias("id")).collect()
     assert {r.k: r.id for r in rows} == known
 

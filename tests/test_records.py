@@ -19,8 +19,8 @@ def nested(**more):
 
 
 def test_nested_item(spark):
-    row = parse.parse_nested(items(spark, nested(id=123, sequence={"id": "seq-1"}, captured_at="t", thumb_1024_url="u"))).first()
-    assert (row.id, row.lat, row.lon, row.sequence_id, row.timestamp, row.image_url) == ("123", 55.75, 37.61, "seq-1", "t", "u")
+    row = parse.parse_nested(items(spark, nested(id=8810, sequence={"id": "run-9"}, captured_at="t", thumb_1024_url="u"))).first()
+    assert (row.id, row.lat, row.lon, row.sequence_id, row.timestamp, row.image_url) == ("8810", 55.75, 37.61, "run-9", "t", "u")
 
 
 @pytest.mark.parametrize(
@@ -45,8 +45,8 @@ def test_sequences(spark, value, want):
 
 
 def test_flat_items(spark):
-    rows = parse.parse_flat(items(spark, {"photoId": "kv-1", "latitude": "55.76", "longitude": 37.62}, {"id": 0, "photoId": 5, "lat": 0.0, "lon": 0.0}, {"id": 1, "lat": None, "lon": 1}, 5, [1])).orderBy("ord").collect()
-    assert [(r.id, r.lat, r.lon) for r in rows] == [("kv-1", 55.76, 37.62), ("0", 0.0, 0.0)]
+    rows = parse.parse_flat(items(spark, {"photoId": "b-77", "latitude": "48.3", "longitude": 16.4}, {"id": 0, "photoId": 5, "lat": 0.0, "lon": 0.0}, {"id": 1, "lat": None, "lon": 1}, 5, [1])).orderBy("ord").collect()
+    assert [(r.id, r.lat, r.lon) for r in rows] == [("b-77", 48.3, 16.4), ("0", 0.0, 0.0)]
 
 
 def test_bad_places(spark):
@@ -56,7 +56,7 @@ def test_bad_places(spark):
 
 
 def raw(spark, *rows):
-    full = [{"ord": k, "id": "m1", "lat": 55.75, "lon": 37.61, "image_url": "https://x/y.jpg", "url": None, "license": None, "source": "mapillary"} | r for k, r in enumerate(rows)]
+    full = [{"ord": k, "id": "a5", "lat": 55.75, "lon": 37.61, "image_url": "https://img.test/p5", "url": None, "license": None, "source": "mapillary"} | r for k, r in enumerate(rows)]
     kinds = "ord long, id string, lat double, lon double, image_url string, url string, license string, source string"
     return spark.createDataFrame([tuple(r[x.split()[0]] for x in kinds.split(", ")) for r in full], kinds)
 
@@ -65,15 +65,15 @@ def test_manifest_columns(spark):
     row = records.normalize(raw(spark, {}))
     assert row.columns == [f.name for f in MANIFEST.fields] and [f.dataType for f in row.schema] == [f.dataType for f in MANIFEST.fields]
     one = row.first()
-    assert one.download_url == "https://x/y.jpg" and one.image_path.startswith("data/raw/images/mapillary/") and (one.license, one.attribution) == ("CC-BY-SA", "Mapillary")
+    assert one.download_url == "https://img.test/p5" and one.image_path.startswith("data/raw/images/mapillary/") and (one.license, one.attribution) == ("CC-BY-SA", "Mapillary")
 
 
 def test_ids_depend_on_the_source(spark):
     ids = [r.id for r in records.normalize(raw(spark, {}, {}, {"source": "KartaView"}), keep=("ord",)).orderBy("ord").collect()]
-    assert ids[0] == ids[1] == "88b94489-7b75-5fe2-8c62-16e4cce2f84b" and ids[2] == "6d09adf4-83a2-5d20-bf95-512aa2538b85"
+    assert ids[0] == ids[1] == "06ca0463-356c-5a73-99ce-59bf122c6dd8" and ids[2] == "2bc69f59-a74d-5454-9e2f-ced62c5add35"
 
 
-@pytest.mark.parametrize(("change", "url"), [({"image_url": ""}, None), ({"image_url": "", "url": ""}, ""), ({"image_url": "", "url": "u"}, "u"), ({"lat": None}, None), ({"id": None}, None), ({"lat": 0.0}, "https://x/y.jpg")])
+@pytest.mark.parametrize(("change", "url"), [({"image_url": ""}, None), ({"image_url": "", "url": ""}, ""), ({"image_url": "", "url": "u"}, "u"), ({"lat": None}, None), ({"id": None}, None), ({"lat": 0.0}, "https://img.test/p5")])
 def test_dropped_records(spark, change, url):
     assert [r.download_url for r in records.normalize(raw(spark, change)).collect()] == ([] if url is None else [url])
 
@@ -97,6 +97,6 @@ def test_dense_order(spark):
 
 def test_manifest_of_two_sources(spark):
     a = raw(spark, {}).drop("source")
-    b = raw(spark, {"id": "k1", "lat": 55.750001}, {"id": "k2", "lat": 55.750002}).drop("source")
+    b = raw(spark, {"id": "b5", "lat": 55.750001}, {"id": "b6", "lat": 55.750002}).drop("source")
     kept = jobs.build_manifest(spark, a, b).orderBy("ord").collect()
-    assert [(r.source, r.source_image_id) for r in kept] == [("mapillary", "m1"), ("kartaview", "k1")]
+    assert [(r.source, r.source_image_id) for r in kept] == [("mapillary", "a5"), ("kartaview", "b5")]

@@ -68,7 +68,7 @@ def test_drives_and_parked_cameras_take_no_more_time_than_others(spark):
 
 
 def test_four_points(spark):
-    points = [(1, 55.75, 37.61), (2, 55.75001, 37.61001), (3, 55.750015, 37.610015), (4, 55.76, 37.62)]
+    points = [(1, 55.8, 37.5), (2, 55.80002, 37.50002), (3, 55.80003, 37.50001), (4, 55.81, 37.5)]
     assert kept(spatial.deduplicate(frame(spark, points))) == [1, 2, 4]
 
 
