@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,16 +18,56 @@ AT_REST = 1e-6
 log = logging.getLogger(__name__)
 
 
+#: Cue words of each topic in English, German, French and Spanish; ``|`` sets table cells apart.
+TOPICS = {
+    "table": ("|",),
+    "legal": ("license", "licensed", "licence", "copyright", "warranty", "apache", "gnu", "mit", "law", "court", "lizenz", "gesetz", "gericht", "loi", "tribunal", "ley", "derechos"),
+    "contact": ("phone", "email", "e-mail", "address", "contact", "fax", "telefon", "adresse", "kontakt", "téléphone", "teléfono", "correo", "dirección"),
+    "secrets": ("password", "token", "secret", "login", "api_key", "passwort", "kennwort", "clave", "contraseña"),
+    "trade": ("price", "order", "buy", "sale", "shop", "discount", "preis", "kaufen", "angebot", "prix", "acheter", "commande", "precio", "comprar", "oferta"),
+    "science": ("theory", "experiment", "data", "method", "research", "theorie", "forschung", "daten", "théorie", "recherche", "données", "teoría", "investigación", "datos"),
+    "code": ("def", "class", "return", "import", "function", "var", "const", "void", "public", "int", "{", "}", "};", "=>"),
+}
+#: A text is of the topic that has the most cues, one word in so many at least; else it is prose.
+WORDS_A_CUE = 50
+OTHERWISE, MARKS, BLANKS = "prose", ".,;:!?()\"'", r"[\x20\x09-\x0D]+"
+
+
+def _words(text: Column | str) -> Column:
+    return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS), "")
+
+
+def _cue_of(topic: str) -> Callable[[Column], Column]:
+    return lambda w: w.isin(*TOPICS[topic]) | w.contains("@") if topic == "contact" else w.isin(*TOPICS[topic])
+
+
 def topic_of(text: Column | str = "text") -> Column:
-    """A topic from plain signs of the text, in this order of precedence."""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.when(text.contains(" | "), F.lit("table")).when(text.contains("License"), F.lit("licensed")).when(text.contains("@") | text.contains("password="), F.lit("contact")).otherwise(F.lit("prose"))
+    """The topic with the most cue words; ties go to the first in ``TOPICS``.
+
+    Words are compared in lower case without the marks around them; one with an
+    ``@`` is a cue of "contact".  One pass over the words keeps the cues, and only
+    those few are counted by topic.
+    """
+    every = sorted({w for cues in TOPICS.values() for w in cues})
+
+    def tidy(w: Column) -> Column:
+        return F.lower(F.btrim(w, F.lit(MARKS)))
+
+    def judged(words: Column) -> Column:
+        found = F.transform(F.filter(words, lambda w: tidy(w).isin(*every) | w.contains("@")), tidy)
+
+        def most(cues: Column) -> Column:
+            counts = [F.struct(F.size(F.filter(cues, _cue_of(name))).alias("n"), F.lit(-place).alias("place"), F.lit(name).alias("name")) for place, name in enumerate(TOPICS)]
+            return F.transform(F.array(F.array_max(F.array(*counts))), lambda top: F.when((top["n"] > 0) & (top["n"] * WORDS_A_CUE >= F.size(words)), top["name"]).otherwise(F.lit(OTHERWISE)))[0]
+
+        return F.transform(F.array(found), most)[0]
+
+    return F.transform(F.array(_words(text)), judged)[0]
 
 
 def n_words(text: Column | str = "text") -> Column:
     """Tokens, counted as runs of visible signs; at least 1, so that every document has weight."""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.greatest(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(1)).cast("long")
+    return F.greatest(F.size(_words(text)), F.lit(1)).cast("long")
 
 
 def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:

@@ -342,6 +342,20 @@ def test_stages_take_odd_rows(spark, docs, tmp_path):
             now = out
 
 
+def test_topics_equal_a_plain_count(spark, docs, sf_dir):
+    def topic(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        tidy = [w.strip(mixing.MARKS).lower() for w in words]
+        n = {t: sum(w in cues or (t == "contact" and "@" in w) for w in tidy) for t, cues in mixing.TOPICS.items()}
+        best = max(n, key=n.get)  # the first of equal ones
+        return best if n[best] and n[best] * mixing.WORDS_A_CUE >= len(words) else mixing.OTHERWISE
+
+    made = ["The Licence, and the price.", "mail a@b.c now " + "x " * 200, "(password) token; Secret!", "def f { return }", "a | b | c", None, "", "order the data " + "word " * 96, "order the data " + "word " * 98]
+    texts = made + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    found = docs(texts).select("doc_id", mixing.topic_of().alias("t")).collect()
+    assert {r.doc_id: r.t for r in found} == {k: topic(t) for k, t in enumerate(texts)} and len({r.t for r in found}) >= 5
+
+
 def test_mix_equals_plain_raking(spark, sf_dir):
     """Weights and probabilities of the query, from its own cells, by a loop."""
     rows = mixing.digest(mixing.production_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))).collect()
