@@ -11,6 +11,7 @@ from .decontaminate import WINDOW_WORDS
 from .lm_scoring import SMOOTHING
 from .near_duplicates import SIMILARITY
 from .probminhash import SHINGLE_WORDS
+from .url_filter import BINS, EDGE, FOLDS, ORDER, RULES, SIGNS
 
 #: The words of a text: runs of 0-9, a-z and everything from U+0080 on, after A-Z are lowered.
 WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -68,3 +69,36 @@ def cross_entropy_difference() -> str:
     s as (select doc_id, {loss('t')} as x, {loss('b')} as y from own join p using (v, w) join o using (w) join c using (v), a group by doc_id)
     select d.doc_id, len(w)::bigint as n_tokens, round(x, 6) as target_loss, round(y, 6) as background_loss, round(x - y, 6) as difference from d left join s using (doc_id)
     """
+
+
+def url_filter() -> str:
+    """The rules, both Markov models entry by entry, the threshold on the held-out fold, and the verdicts."""
+    fits = [(name, start, rule) for rule in sorted(RULES, key=lambda r: (len(r), [-ord(c) for c in r]), reverse=True) for name, _, start in [rule.partition("/")]]
+    rule = " ".join(f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{start}') then '{rule}'" for name, start, rule in fits)
+    allowed = ", ".join(f"'{r}'" for r, v in RULES.items() if v == "allow")
+    models, below = [], "select 0::bigint as id, 1.0::double / 32 as yes, 1.0::double / 32 as no"
+    for order in range(ORDER + 1):
+        size, width = SIGNS ** (order + 1), SIGNS**order if order else 1
+        side = lambda x: f"case when coalesce(all_{x}, 0) > 0 then (coalesce(n_{x}, 0) + kinds_{x} * b.{x}) / (all_{x} + kinds_{x}) else b.{x} end as {x}"
+        models.append(f"""c{order} as (select gram % {size} as id, sum(n_yes)::double as n_yes, sum(n_no)::double as n_no from seen group by 1),
+    x{order} as (select id // 32 as context, sum(n_yes) as all_yes, sum(n_no) as all_no, count_if(n_yes > 0)::double as kinds_yes, count_if(n_no > 0)::double as kinds_no from c{order} group by 1),
+    m{order} as (select e.id, {side('yes')}, {side('no')} from (select range as id from range({size})) as e left join c{order} as c on c.id = e.id left join x{order} as x on x.context = e.id // 32 join ({below}) as b on b.id = e.id % {width})""")
+        below = f"select * from m{order}"
+    own, to = string.ascii_lowercase + string.digits + "/.-", string.ascii_uppercase + "[" * 10 + "\\]_"
+    return f"""
+    with p as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    h as (select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+    r as (select *, case {rule} end as rule from h),
+    s as (select page_id, host, path, rule, list_filter(list_transform(string_split('@@@' || translate(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z]*://', ''), '[^a-z0-9/.\\-]', '^', 'g'), '{own}', '{to}') || '@', ''), lambda x: ascii(x) - 64), lambda x: x >= 0) as c from r),
+    g as (select page_id, host, path, rule, rule in ({allowed}) as accepted, ('0x' || substr(md5(page_id::varchar), 1, 8))::bigint % {FOLDS} = 0 as held,
+          list_transform(range({ORDER + 1}, len(c) + 1), lambda i: ((c[i - 3]::bigint * 32 + c[i - 2]) * 32 + c[i - 1]) * 32 + c[i]) as grams from s),
+    seen as (select gram, count_if(accepted) as n_yes, count_if(not accepted) as n_no from (select accepted, unnest(grams) as gram from g where rule is not null and not held) group by gram),
+    {', '.join(models)},
+    ratio as (select id, (ln(yes) - ln(no))::float::double as r from m{ORDER}),
+    w as (select page_id, sum(r) / count(*) as score from (select page_id, unnest(grams) as gram from g) join ratio on id = gram group by page_id),
+    k as (select g.*, score, least(greatest(floor(score * {BINS}), -{EDGE}), {EDGE})::bigint as bin from g join w using (page_id)),
+    b as (select bin, count_if(accepted)::double as yes, count_if(not accepted)::double as no from k where rule is not null and held group by bin),
+    f as (select least(bin, greatest(0, coalesce(lag(bin) over (order by bin) + 1, -{EDGE}))) as bin, sum(yes) over (order by bin) - yes as missed, sum(no) over (order by bin) - no as caught, sum(yes) over () as yes, sum(no) over () as no from b),
+    t as (select coalesce((select bin from f where yes > 0 and no > 0 order by missed / yes + (no - caught) / no, abs(bin), bin limit 1), 0) as least_bin)
+    select page_id, host, path, rule, case when rule is not null then case when accepted then 'allow' else 'block' end when bin >= least_bin then 'allow' else 'block' end as verdict, round(score, 6) as score from k, t
+    """

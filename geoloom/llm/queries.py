@@ -74,6 +74,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality.oracle(),
         "op4_near_duplicates": oracles.near_duplicates(),
+        "op7_url_filter": oracles.url_filter(),
         "op8_decontaminate": oracles.decontaminate(),
         "op9_cross_entropy_difference": oracles.cross_entropy_difference(),
     }

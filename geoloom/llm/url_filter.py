@@ -141,7 +141,8 @@ def judged(pages: DataFrame, rules: dict[str, str] = RULES, key: str = "page_id"
     out = pages.drop(*(x for x in ("host", "path", "rule", "score", "verdict") if x not in (key, url)))
     ruled = out.withColumn("host", host).withColumn("path", path).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     allowed = F.col("rule").isin([r for r, v in rules.items() if v == "allow"])
-    labelled = ruled.where("rule is not null").select(F.col(url).alias("url"), allowed.alias("accepted"), (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FOLDS)) == 0).alias("held"))
+    held = F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % FOLDS == 0, F.lit(False))
+    labelled = ruled.where("rule is not null").select(F.col(url).alias("url"), allowed.alias("accepted"), held.alias("held"))
     model = written(ratio_model(labelled.where("not held")), "url-model")
     least = calibrated(_scored(labelled.where("held"), "url", model))
     scored = _scored(ruled, url, model)
