@@ -155,7 +155,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window_words: int = WI
     original text in code points; both ends exclusive.  items are ids as strings,
     sorted as such.
 
-    A null text has no words; so has one of punctuation alone.  Items without a
+    A null text has no words; so has one of punctuation alone.  Very long texts are
+    scanned whole.  Items without a
     word have no window; those without an id are scanned if ``without_id``, and then
     count in n_hit and the spans, but not in items.  Equal items count under each id.  Repeated rows
     each get their own struct.  Without items nothing is hit, and an empty table

@@ -36,6 +36,21 @@ def is_solid(ch: str) -> bool:
     return ch in SOLID or ch.isalnum()
 
 
+SOLID_BYTES = np.array([chr(x) in SOLID for x in range(128)] + [False] * 128)
+
+
+def _closed(units: pa.Array, texts: list[str]) -> np.ndarray:
+    """Which units end in a visible character; the last byte tells unless it is beyond ASCII."""
+    ends = np.frombuffer(units.buffers()[1], dtype=np.int64, count=len(units) + 1 + units.offset)[units.offset :]
+    data, sizes = np.frombuffer(units.buffers()[2] or b"", dtype=np.uint8), np.diff(ends)
+    last = np.zeros(len(units), dtype=np.uint8)
+    last[sizes > 0] = data[ends[1:][sizes > 0] - 1]
+    closed = SOLID_BYTES[last]
+    for k in np.flatnonzero(last > 127).tolist():
+        closed[k] = is_solid(texts[k][-1])
+    return closed
+
+
 class UnitEncoder:
     """Encodes texts with one tokenizer file; ``.json`` or ``.model``.
 
@@ -162,7 +177,7 @@ class UnitEncoder:
         coded = pieces.values.dictionary_encode()
         codes, units = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         firsts, lasts = bounds[:-1], bounds[1:] - 1
-        closed = np.fromiter((bool(x) and is_solid(x[-1]) for x in units), dtype=bool, count=len(units))
+        closed = _closed(coded.dictionary, units)
         inner = closed[codes]
         inner[lasts] = True
         good = np.logical_and.reduceat(inner, firsts) if len(texts) else np.zeros(0, dtype=bool)
@@ -186,9 +201,12 @@ class UnitEncoder:
     def _packed_units(self, units: list[str], closed: np.ndarray) -> list[bytes]:
         """The ids of each unit after a space; open ones, which end texts, aren't kept."""
         found = list(map(self.memo.get, units))
-        missing = [x for x, y, z in zip(units, found, closed.tolist(), strict=True) if y is None and z]
-        learnt = self._learn(missing)
-        return [y if y is not None else learnt[x] if z else self._packed(f" {x}") for x, y, z in zip(units, found, closed.tolist(), strict=True)]
+        gaps = [k for k, y in enumerate(found) if y is None]
+        is_closed = closed[gaps].tolist()
+        learnt = self._learn([units[k] for k, z in zip(gaps, is_closed, strict=True) if z])
+        for k, z in zip(gaps, is_closed, strict=True):
+            found[k] = learnt[units[k]] if z else self._packed(f" {units[k]}")
+        return found
 
     def _joined(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.dtype.itemsize

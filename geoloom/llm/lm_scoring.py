@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .probminhash import U64, hashed_words, mixed
-from .shared import pieces, small, written
+from .shared import pieces, small, small_batches, written
 
 #: Words of a block; the text that exceeds it is the block's last.
 BLOCK_WORDS = 1 << 22
@@ -242,7 +242,8 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
     listed = None if limit is None else most_frequent(texts, limit)
     kept = None if words is None else listed[: words - 1]
     before = None if contexts is None else listed[: contexts - 2]
-    encoded = written(blocks(marked, kept), "lm-blocks")
+    with small_batches(spark):
+        encoded = written(blocks(marked, kept), "lm-blocks")
     n_ranges = -(-int(encoded.select(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 1) // RANGE_WORDS)
     answers = written(asked(encoded, n_ranges, before).groupBy("range").applyInArrow(_answers, KINDS["answer"]), "lm-counts")
     distinct, *tokens = (int(x or 0) for x in answers.agg(F.sum("distinct"), F.sum("n_target"), F.sum("n_background")).first())

@@ -137,7 +137,7 @@ def mixed(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets:
     same document always falls alike, whatever the partitions or lost executors.
 
     Null dimensions count as the value "unknown"; null keys hash as such.  Equal
-    rows are equal draws.  Null texts weigh one token.  Empty tables give empty
+    rows are equal draws.  Null texts weigh one token, very long ones all of theirs.  Empty tables give empty
     results.  A column named ``into`` is replaced, all others stay.
     """
     names = list(dims)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .decontaminate import words_of
 from .probminhash import band_keys, probability_jaccard, shingles, signatures
-from .shared import Scratch, drop_written, pieces, small, written
+from .shared import Scratch, drop_written, pieces, small, small_batches, written
 
 #: 20 bands of 4 registers find a pair of similarity 0.8 but for 3 in 100,000.
 BANDS, ROWS, SIMILARITY = 20, 4, 0.8
@@ -179,7 +179,7 @@ def _undecided_pairs(members: DataFrame, texts: DataFrame, similarity: float, ke
     open member has is in none.  In a group of edits of one text, the
     texts with many edits of their own drop out at once, and the others have few rare shingles that someone shares.
     """
-    rows = keep(_shingle_rows(texts.join(small(members.select(F.col("id").alias("_id"))), F.col("id") == F.col("_id"), "left_semi")), "shingles")
+    rows = keep(_shingle_rows(texts.join(small(members.select(F.col("id").alias("_id")), ID_BYTES), F.col("id") == F.col("_id"), "left_semi")), "shingles")
     often = keep(rows.groupBy("z").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     common = keep(rows.join(often, "z").select("id", "z", "w", "df"), "common")
     whole = rows.groupBy("id").agg(F.sum("w").alias("weight"), (F.sum("w") - F.count("*")).alias("repeats"))
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     long texts are compared whole.  An empty table gives an empty result.
     """
     documents = _documents(docs)
-    with Scratch(docs.sparkSession, "near-duplicates") as keep:
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession, "near-duplicates") as keep:
         table = keep(signature_table(documents, bands, rows), "signatures")
         full = table.where("n_shingles > 0")
         reps = full.groupBy("fp").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("rep_id"), F.col("r.keys").alias("keys"))

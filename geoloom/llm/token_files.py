@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import fresh_folder, pieces, written
+from .shared import fresh_folder, pieces, small_batches, written
 from .wavelet import from_bytes, to_bytes
 
 SHARD_TOKENS = 1 << 21
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             store.move(begun, name)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": [len(doc_ids)], "n_tokens": [held], "file": [name]})
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", rows=4096):
             encoded, bounds = tool.encode_many(batch.column("text").to_pylist())
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 ids.append(encoded[bounds[k] : bounds[k + 1]].tobytes() + tail)
@@ -100,7 +100,8 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, fo
     """
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "token-files")
-    shards = written(write_token_files(docs, tokenizer_path, folder, end_id, shard_tokens), "token-shards")
+    with small_batches(spark):
+        shards = written(write_token_files(docs, tokenizer_path, folder, end_id, shard_tokens), "token-shards")
     if shards.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
     before = Window.unboundedPreceding

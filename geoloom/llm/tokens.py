@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
-        for batch in pieces(batches, at):
+        for batch in pieces(batches, at, rows=4096):
             docs = [x or "" for x in batch.column(at).to_pylist()]
             huge = [tool.stable and len(x) > chunk_chars for x in docs]
             n_tokens, n_chunks = [0] * len(docs), [int(bool(x)) for x in docs]
