@@ -30,7 +30,9 @@ from .probminhash import U64, hashed_words, mixed
 from .shared import pieces, small, small_batches, written
 
 #: Words of a block; the text that exceeds it is the block's last.
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
+#: Words of a block's documents that are scored at a time, or one document's.
+SCORED_WORDS = 1 << 18
 #: Words of the corpus for each range of hashes.
 RANGE_WORDS = 1 << 21
 #: Distinct words that a task gathers before it passes their counts on.
@@ -140,8 +142,8 @@ class Block:
         listed, tokens = unpacked(row["hashes"], U64), unpacked(row["words"], np.uint32)
         self.words = np.unique(np.concatenate([listed, np.array([START, OTHER], dtype=U64)]))
         start, other = np.searchsorted(self.words, np.array([START, OTHER], dtype=U64))
-        self.word = np.searchsorted(self.words, listed)[tokens]
-        as_context = np.arange(len(self.words))
+        self.word = np.searchsorted(self.words, listed).astype(np.int32)[tokens]
+        as_context = np.arange(len(self.words), dtype=np.int32)
         if contexts is not None:
             as_context[~np.isin(self.words, contexts)] = other
         self.context = np.empty_like(self.word)
@@ -149,9 +151,19 @@ class Block:
         begins = np.cumsum(self.sizes) - self.sizes
         self.context[begins[self.sizes > 0]] = start
         keys = mixed(mixed(self.words[self.context] ^ U64(0x9E3779B97F4A7C15)) + self.words[self.word])
-        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+        self.pairs, pair = np.unique(keys, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.side = np.repeat(np.array(row["target"], dtype=bool), self.sizes)
 
+    def runs(self, most: int) -> Iterator[tuple[int, int, int, int]]:
+        """First and last document, and word, of runs of at most so many words, or of one document."""
+        ends, a = np.cumsum(self.sizes), 0
+        while a < len(ends):
+            first = int(ends[a] - self.sizes[a])
+            b = max(a + 1, int(np.searchsorted(ends, first + most, side="right")))
+            yield a, b, first, int(ends[b - 1])
+            a = b
+
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Of words: as words in the target and the background, as contexts in both; of pairs: in both."""
 
@@ -248,6 +260,7 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
     answers = written(asked(encoded, n_ranges, before).groupBy("range").applyInArrow(_answers, KINDS["answer"]), "lm-counts")
     distinct, *tokens = (int(x or 0) for x in answers.agg(F.sum("distinct"), F.sum("n_target"), F.sum("n_background")).first())
     classes = distinct + 1 if kept is None else len(kept) + 1
+    at_once = SCORED_WORDS
     names = ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -257,15 +270,16 @@ def scored(docs: DataFrame, target: DataFrame, words: int | None = None, context
             block = Block(row, before)
             of_words = np.concatenate([unpacked(x["word_counts"], np.int64).reshape(4, -1) for x in found], axis=1)
             of_pairs = np.concatenate([unpacked(x["pair_counts"], np.int64).reshape(2, -1) for x in found], axis=1)
-            owner, n = np.repeat(np.arange(len(block.sizes)), block.sizes), np.maximum(block.sizes, 1)
-            none = block.sizes == 0
-            own_pair, own_word, own_context = (_own(owner, x) for x in (block.pair, block.word, block.context))
-            means = []
-            for k, taught in enumerate((block.side, ~block.side)):
-                pair, word = of_pairs[k][block.pair] - own_pair * taught, of_words[k, block.word] - own_word * taught
-                total, every = of_words[k + 2, block.context] - own_context * taught, tokens[k] - block.sizes[owner] * taught
-                loss = _loss(pair, word, total, every + classes, smoothing)
-                means.append(np.bincount(owner, weights=loss, minlength=len(n)) / n)
+            none, means = block.sizes == 0, np.zeros((2, len(block.sizes)))
+            for a, b, first, last in block.runs(at_once):
+                sizes = block.sizes[a:b]
+                owner = np.repeat(np.arange(b - a), sizes)
+                pair, word, context, side = (x[first:last] for x in (block.pair, block.word, block.context, block.side))
+                own_pair, own_word, own_context = (_own(owner, x) for x in (pair, word, context))
+                for k, taught in enumerate((side, ~side)):
+                    every = tokens[k] - sizes[owner] * taught + classes
+                    loss = _loss(of_pairs[k][pair] - own_pair * taught, of_words[k, word] - own_word * taught, of_words[k + 2, context] - own_context * taught, every, smoothing)
+                    means[k, a:b] = np.bincount(owner, weights=loss, minlength=b - a) / np.maximum(sizes, 1)
             out.append(pa.Table.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], names=names))
         return pa.concat_tables(out)
 

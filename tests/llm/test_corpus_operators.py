@@ -416,6 +416,7 @@ def test_every_operator_is_registered():
 
 def test_every_word_and_context_is_modelled(spark, docs, monkeypatch):
     monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 5_000)
+    monkeypatch.setattr(lm_scoring, "SCORED_WORDS", 700)
     rng = random.Random(8)
     texts = [" ".join(f"v{min(int(rng.paretovariate(0.4)), 20_000)}" for _ in range(300)) for _ in range(100)] + [" ".join(f"u{100 * k + j}" for j in range(100)) for k in range(90)] + [None, ""]
     counts = [Counter(), Counter()]
