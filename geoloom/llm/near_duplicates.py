@@ -54,7 +54,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 def _repeated(rows: DataFrame) -> DataFrame | None:
     """The ids of more than one row, if there are any."""
     several = written(rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1 and _id is not null").select("_id"), "repeated-ids")
-    return None if several.isEmpty() else small(several, ID_BYTES)
+    if several.isEmpty():
+        drop_written(several)
+        return None
+    return small(several, ID_BYTES)
 
 
 def signature_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -260,10 +263,9 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     several = _repeated(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     if several is None:
         return left
-    tie = F.xxhash64(*(x.name for x in docs.schema.fields if not isinstance(x.dataType, T.MapType | T.VariantType)))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), tie))
-    rank = "_place"
-    while rank in docs.columns:
-        rank += "_"
-    once = left.join(several, left["doc_id"] == several["_id"], "left_semi").withColumn(rank, place).where(F.col(rank) == 1).drop(rank)
+    # The least of an id's rows, by partial aggregation: an id may have any number of them.
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    tie = F.xxhash64(*(c for c, x in zip(columns, docs.schema.fields, strict=True) if not isinstance(x.dataType, T.MapType | T.VariantType)))
+    least = F.min_by(F.struct(*columns), F.struct(F.col("text").isNull(), "text", tie)).alias("row")
+    once = left.join(several, left["doc_id"] == several["_id"], "left_semi").groupBy("doc_id").agg(least).select("row.*")
     return left.join(several, left["doc_id"] == several["_id"], "left_anti").unionByName(once)
