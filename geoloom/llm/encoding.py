@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 from array import array
 from collections.abc import Callable
@@ -25,9 +24,11 @@ import pyarrow.compute as pc
 
 SOLID = frozenset(string.ascii_letters + string.digits + string.punctuation)
 BYTE_SPACE = "\u0120"  # how byte-level vocabularies spell a space
-#: Letters that every Unicode version calls letters, and then at most one mark.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
-MARKS = ".,"
+#: Letters that every Unicode version calls letters, and then ASCII marks but the apostrophe, which may open a suffix.
+LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-&(-/:-@\[-`{-~]*"
+#: Such words, one a line: each word, its run of marks and each line feed are one match of the splitting pattern.
+PLAIN = f"^{LETTERS}{MARKS}(?:\n{LETTERS}{MARKS})*$"
+WORD_AND_MARKS = f"^(?P<word>{LETTERS})(?P<marks>{MARKS})$"
 MEMO_UNITS = 600_000
 
 
@@ -112,44 +113,51 @@ class UnitEncoder:
     def _packed(self, unit: str) -> bytes:
         return array(self.dtype.char, self.encode_whole(unit)).tobytes()
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of distinct closed pieces after a space; they go into the memo."""
-        learnt, new = {}, []
-        for piece in pieces:
-            packed = self.old.get(piece)
-            if packed is None:
-                new.append(piece)
-            else:
-                learnt[piece] = packed
-        plain, rest, matches = [], [], []
-        for piece in new:
-            if not PLAIN(piece):
-                rest.append(piece)
-                continue
-            # A word, and a mark after it, are one match each.
-            plain.append(piece)
-            mark = piece[-1] if piece[-1] in MARKS else ""
-            word = piece[:-1] if mark else piece
-            matches.append(BYTE_SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_names)))
-            if mark:
-                matches.append(mark)
-        if plain:
-            self._share_out(plain, self.bare.encode_batch_fast([matches], is_pretokenized=True, add_special_tokens=False)[0], learnt)
-        if rest:
-            self._share_out(rest, self.tool.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0], learnt)
-        if len(self.memo) + len(learnt) > self.memo_units:
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct closed pieces after a space, in their order; they go into the memo."""
+        packed = list(map(self.old.get, pieces))
+        new = np.flatnonzero(np.fromiter((x is None for x in packed), dtype=bool, count=len(packed)))
+        if len(new):
+            texts = pa.array(pieces, pa.large_string()).take(pa.array(new))
+            plain = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False)
+            for chosen, encode in ((plain, self._encoded_plain), (~plain, self._encoded_rest)):
+                if chosen.any():
+                    for k, ids in zip(new[chosen].tolist(), self._shared_out(encode(texts.filter(pa.array(chosen)))), strict=True):
+                        packed[k] = ids
+        if len(self.memo) + len(pieces) > self.memo_units:
             self.memo, self.old = {}, self.memo
-        if len(learnt) <= self.memo_units:
-            self.memo |= learnt
-        return learnt
-
-    def _share_out(self, pieces: list[str], encoded, learnt: dict[str, bytes]) -> None:
+        if len(pieces) <= self.memo_units:
+            self.memo.update(zip(pieces, packed, strict=True))
+        return packed
+
+    def _encoded_plain(self, texts: pa.Array) -> list[int]:
+        """The ids of plain units after a space, whose matches are known, so that merges alone are left."""
+        lines = pc.split_pattern(texts, "\n")
+        parts = pc.extract_regex(lines.values, WORD_AND_MARKS)
+        words, marks = pc.struct_field(parts, "word"), pc.struct_field(parts, "marks")
+        later, marked = np.ones(len(words), dtype=bool), pc.not_equal(marks, "").to_numpy(zero_copy_only=False)
+        later[lines.offsets.to_numpy()[:-1]] = False
+        spelt = np.array(words.to_pylist(), dtype=object)
+        for k in np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist():
+            spelt[k] = spelt[k].encode().decode("latin-1").translate(self.byte_names)
+        spelt[~later] = BYTE_SPACE + spelt[~later]
+        n = 1 + later + marked
+        at = np.cumsum(n) - n + later
+        matches = np.empty(int(n.sum()), dtype=object)
+        matches[at] = spelt
+        matches[at[later] - 1] = chr(self.byte_names[ord("\n")])
+        matches[at[marked] + 1] = marks.filter(pa.array(marked)).to_pylist()
+        return self.bare.encode_batch_fast([matches.tolist()], is_pretokenized=True, add_special_tokens=False)[0].ids
+
+    def _encoded_rest(self, texts: pa.Array) -> list[int]:
+        return self.tool.encode_batch_fast([" " + " ".join(texts.to_pylist())], add_special_tokens=False)[0].ids
+
+    def _shared_out(self, encoded: list[int]) -> list[bytes]:
         """A piece holds no space, so the tokens that begin with one begin the units."""
-        ids = np.array(encoded.ids, dtype=self.dtype)
+        ids = np.array(encoded, dtype=self.dtype)
         cuts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
-        packed = ids.tobytes()
-        for piece, a, b in zip(pieces, cuts, [*cuts[1:], ids.nbytes], strict=True):
-            learnt[piece] = packed[a:b]
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip(cuts, [*cuts[1:], ids.nbytes], strict=True)]
 
     def _open_text(self, text: str) -> bytes:
         """Pieces that end in white space stay with what follows them."""
@@ -201,11 +209,12 @@ class UnitEncoder:
     def _packed_units(self, units: list[str], closed: np.ndarray) -> list[bytes]:
         """The ids of each unit after a space; open ones, which end texts, aren't kept."""
         found = list(map(self.memo.get, units))
-        gaps = [k for k, y in enumerate(found) if y is None]
-        is_closed = closed[gaps].tolist()
-        learnt = self._learn([units[k] for k, z in zip(gaps, is_closed, strict=True) if z])
-        for k, z in zip(gaps, is_closed, strict=True):
-            found[k] = learnt[units[k]] if z else self._packed(f" {units[k]}")
+        gaps = np.flatnonzero(np.fromiter((x is None for x in found), dtype=bool, count=len(found)))
+        ended = gaps[closed[gaps]].tolist()
+        for k, ids in zip(ended, self._learn([units[k] for k in ended]), strict=True):
+            found[k] = ids
+        for k in gaps[~closed[gaps]].tolist():
+            found[k] = self._packed(f" {units[k]}")
         return found
 
     def _joined(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -85,7 +85,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 doc_ids, starts, lengths, matrix = from_bytes(content)
                 ids = matrix.decode().astype("<u4")
                 spans = zip(starts.tolist(), lengths.tolist(), strict=True)
-                yield pd.DataFrame({"part": part, "shard": shard, "place": np.arange(len(doc_ids)), "doc_id": pd.arrays.IntegerArray(doc_ids.astype("int64"), doc_ids == NO_ID), "offset": starts.astype("int64"), "n_tokens": lengths.astype("int64"), "ids_crc32": [zlib.crc32(ids[a : a + n].tobytes()) for a, n in spans]})
+                yield pd.DataFrame({"part": part, "shard": shard, "place": np.arange(len(doc_ids)), "doc_id": pd.arrays.IntegerArray(doc_ids.astype("int64"), doc_ids == NO_ID), "offset": starts.astype("int64"), "n_tokens": lengths.astype("int64"), "ids_crc32": [zlib.crc32(ids[a : a + n]) for a, n in spans]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.wm").load(folder)
     return files.select("path", "content").mapInPandas(read, TOKEN_SCHEMA)

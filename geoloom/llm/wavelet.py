@@ -86,7 +86,7 @@ class WaveletMatrix:
             plane = np.packbits(ones)
             planes.append(Plane.build(plane))
             ranks.append(cls._ranks(plane))
-            low, high = ids[~ones], ids[ones]
+            low, high = ids.take(np.flatnonzero(~ones)), ids.take(np.flatnonzero(ones))  # places, since random masks are slow
             zeros.append(len(low))
             ids = np.concatenate([low, high])
         return cls(len(ids), planes, zeros, ranks)
@@ -103,8 +103,8 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             ones = self.planes[k].bits(self.n)
             above = np.empty_like(ids)
-            above[~ones] = ids[: self.zeros[k]]
-            above[ones] = ids[self.zeros[k] :] | ids.dtype.type(1 << (len(self.planes) - 1 - k))
+            above[np.flatnonzero(~ones)] = ids[: self.zeros[k]]
+            above[np.flatnonzero(ones)] = ids[self.zeros[k] :] | ids.dtype.type(1 << (len(self.planes) - 1 - k))
             ids = above
         return ids
 
