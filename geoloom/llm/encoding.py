@@ -30,6 +30,8 @@ LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", r"[!-&(-/:-
 PLAIN = f"^{LETTERS}{MARKS}(?:\n{LETTERS}{MARKS})*$"
 WORD_AND_MARKS = f"^(?P<word>{LETTERS})(?P<marks>{MARKS})$"
 MEMO_UNITS = 600_000
+#: Texts, and their bytes, whose distinct units are looked up together.
+TOGETHER, TOGETHER_BYTES = 8_192, 16 << 20
 
 
 def is_solid(ch: str) -> bool:
@@ -200,7 +202,9 @@ class UnitEncoder:
         bounds = bounds - np.arange(len(bounds))
         reps = sizes[codes]
         after = np.concatenate([[0], np.cumsum(reps)])
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - after[:-1], reps) + np.arange(after[-1])]
+        narrow = np.int32 if max(after[-1], len(flat)) < 1 << 31 else np.int64
+        shifts = ((np.cumsum(sizes) - sizes)[codes] - after[:-1]).astype(narrow)
+        ids = flat.take(np.repeat(shifts, reps) + np.arange(after[-1], dtype=narrow))
         for k, (a, b, text) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts, strict=True)):
             if done[k] is None:
                 done[k] = self._packed(text[: text.index(" ")] if b > a else text) + ids[after[a] : after[b]].tobytes()

@@ -30,7 +30,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], *texts: str, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], *texts: str, rows: int = PIECE_ROWS, n_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces that are bounded by the bytes of these text columns.
 
     Spark bounds a batch by bytes, too; here the bound is one for the work on a
@@ -42,7 +42,7 @@ def pieces(batches: Iterable[pa.RecordBatch], *texts: str, rows: int = PIECE_ROW
         sizes = sum(pc.fill_null(pc.binary_length(batch.column(x)), 0).to_numpy(zero_copy_only=False).astype("int64") for x in texts).tolist()
         begin, held = 0, 0
         for k, x in enumerate(sizes):
-            if k > begin and (held + x > PIECE_BYTES or k - begin == rows):
+            if k > begin and (held + x > n_bytes or k - begin == rows):
                 yield batch.slice(begin, k - begin)
                 begin, held = k, 0
             held += x

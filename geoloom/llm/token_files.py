@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import TOGETHER, TOGETHER_BYTES, encoder
 from .shared import fresh_folder, pieces, small_batches, written
 from .wavelet import from_bytes, to_bytes
 
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             store.move(begun, name)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": [len(doc_ids)], "n_tokens": [held], "file": [name]})
 
-        for batch in pieces(batches, "text", rows=4096):
+        for batch in pieces(batches, "text", rows=TOGETHER, n_bytes=TOGETHER_BYTES):
             encoded, bounds = tool.encode_many(batch.column("text").to_pylist())
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 ids.append(encoded[bounds[k] : bounds[k + 1]].tobytes() + tail)

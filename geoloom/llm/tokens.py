@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .encoding import encoder, resynchronised
+from .encoding import TOGETHER, TOGETHER_BYTES, encoder, resynchronised
 from .shared import pieces
 
 ADDED = (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("n_chunks", T.LongType()))
@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer_path)
-        for batch in pieces(batches, at, rows=4096):
+        for batch in pieces(batches, at, rows=TOGETHER, n_bytes=TOGETHER_BYTES):
             docs = [x or "" for x in batch.column(at).to_pylist()]
             huge = [tool.stable and len(x) > chunk_chars for x in docs]
             n_tokens, n_chunks = [0] * len(docs), [int(bool(x)) for x in docs]
