@@ -31,7 +31,7 @@ PLAIN = f"^{LETTERS}{MARKS}(?:\n{LETTERS}{MARKS})*$"
 WORD_AND_MARKS = f"^(?P<word>{LETTERS})(?P<marks>{MARKS})$"
 MEMO_UNITS = 600_000
 #: Texts, and their bytes, whose distinct units are looked up together.
-TOGETHER, TOGETHER_BYTES = 8_192, 16 << 20
+TOGETHER, TOGETHER_BYTES = 8_192, 10 << 20
 
 
 def is_solid(ch: str) -> bool:
