@@ -11,9 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.scalar import EARTH_RADIUS_M, LAT_METRES, LON_METRES, cell, haversine_m
 from ..tables import Scratch, small, written
+from . import counting
 
 
 def _offsets(n: int) -> Column:
@@ -181,7 +183,41 @@ def deduplicate(points: DataFrame, radius_m: float = 7.0, max_per_cluster: int =
     return points.join(small(rejected.withColumnRenamed("ord", "_gone"), 16), F.col(order) == F.col("_gone"), "left_anti").select(*points.columns)
 
 
+#: Cells along the edge of a block of counts, and points of it that one group holds.
+COUNT_CELLS, COUNT_POINTS = 4, 500_000
+
+
+def _earlier(points: DataFrame, radius_m: float, order: str) -> DataFrame:
+    """dst, n_neighbours by block of cells.  The points of a large block are dealt into parts, and each two of them meet."""
+    x, y = cell("lat", "lon", radius_m)
+    rows = points.where(F.col(order).isNotNull() & F.expr("lat is not null and lon is not null"))
+    rows = rows.select(F.col(order).cast("long").alias("ord"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), x.alias("x"), y.alias("y"))
+    placed = _blocks(rows, COUNT_CELLS, 0, 1)
+    large = placed.groupBy("bx", "by").count().where(F.col("count") > COUNT_POINTS).select("bx", "by", F.ceil(F.col("count") / COUNT_POINTS).alias("parts"))
+    placed = placed.join(F.broadcast(large), ["bx", "by"], "left")  # at most one for COUNT_POINTS rows
+    placed = placed.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")))
+
+    def asking(k: Column) -> Column:
+        return F.struct(F.col("part").alias("i"), k.alias("j"), F.col("inner").alias("asks"), (k == F.col("part")).alias("met"))
+
+    def asked(k: Column) -> Column:
+        return F.struct(k.alias("i"), F.col("part").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("met"))
+
+    parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    meetings = F.concat(F.transform(parts, asking), F.transform(F.filter(parts, lambda k: k != F.col("part")), asked))
+    dealt = placed.select("*", F.explode(meetings).alias("m")).select("bx", "by", "m.i", "m.j", "x", "y", "lat", "lon", "ord", "m.asks", "m.met").where("asks or met")
+    found = dealt.repartition(*counting.BLOCK).sortWithinPartitions(*counting.SORTED).mapInArrow(lambda batches: counting.earlier(batches, COUNT_CELLS, radius_m), counting.COUNTS)
+    return found.groupBy("dst").agg(F.sum("n_neighbours").alias("n_neighbours"))
+
+
 def neighbour_counts(points: DataFrame, radius_m: float = 7.0, order: str = "ord") -> DataFrame:
-    """How many earlier neighbours each point has."""
-    counts = neighbour_pairs(points, radius_m, order=order).groupBy("dst").agg(F.count("*").alias("n_neighbours"))
+    """How many earlier neighbours each point has.
+
+    No pairs of points are made where ``order`` is a whole number: the ids of the
+    places around a place are sorted, and its own are looked up among them.
+    """
+    if isinstance(points.schema[order].dataType, IntegralType):
+        counts = _earlier(points, radius_m, order)
+    else:
+        counts = neighbour_pairs(points, radius_m, order=order).groupBy("dst").agg(F.count("*").alias("n_neighbours"))
     return points.join(counts.withColumnRenamed("dst", order), order, "left").fillna(0, ["n_neighbours"])
