@@ -18,24 +18,39 @@ from ..tables import Scratch, small, written
 from . import counting
 
 
-def _offsets(n: int) -> Column:
+#: Ids of one place that a row of the join holds at most; Spark holds the pairs of two such rows at once.
+PIECE_IDS = 256
+
+
+def _forward(n: int) -> Column:
+    """The steps to a cell itself and to half of those around it, so that two cells meet once."""
     steps = range(-n, n + 1)
-    return F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps))
+    return F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in steps for b in steps if (a, b) >= (0, 0)))
 
 
-def neighbour_pairs(points: DataFrame, radius_m: float = 7.0, reach: int = 1, order: str = "ord") -> DataFrame:
+def neighbour_pairs(points: DataFrame, radius_m: float = 7.0, reach: int = 1, order: str = "ord", digits: int | None = None) -> DataFrame:
     """src, dst, distance_m of points within the radius and ``reach`` cells, src first in order.
 
-    One side is exploded into the cells around it and joined on the cell, so that
-    only points of neighbouring cells meet.  With one cell of reach, points that
-    are close but two cells apart aren't pairs; two cells of reach find all.
+    Points of one place are folded.  One side is exploded into the cells around it and
+    joined on the cell, so that only places of neighbouring cells meet, each two of them
+    once; their distance, rounded if ``digits`` are given, holds for all pairs of their points.
+    With one cell of reach, points that are close but two cells apart aren't pairs; two cells of reach find all.
     """
     cx, cy = cell("lat", "lon", radius_m)
-    near = points.select(F.col(order).alias("dst"), F.col("lat").alias("lat_d"), F.col("lon").alias("lon_d"), cx.alias("cx"), cy.alias("cy"))
-    around = points.select(F.col(order).alias("src"), F.col("lat").alias("lat_s"), F.col("lon").alias("lon_s"), cx.alias("x"), cy.alias("y"), F.explode(_offsets(reach)).alias("o"))
-    around = around.select("src", "lat_s", "lon_s", (F.col("x") + F.col("o.a")).alias("cx"), (F.col("y") + F.col("o.b")).alias("cy"))
+    places = points.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.sort_array(F.collect_list(order)).alias("ids"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(PIECE_IDS)), lambda k: F.slice("ids", k + 1, PIECE_IDS))
+    places = places.where(F.size("ids") > 0).select("lat", "lon", cx.alias("cx"), cy.alias("cy"), F.posexplode(pieces).alias("piece", "ids"))
+    near = places.select("cx", "cy", *(F.col(c).alias(f"{c}_d") for c in ("lat", "lon", "piece", "ids")))
+    around = places.select("*", F.explode(_forward(reach)).alias("o"))
+    around = around.select((F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), (F.expr("o.a = 0 and o.b = 0")).alias("own"), *(F.col(c).alias(f"{c}_s") for c in ("lat", "lon", "piece", "ids")))
+    once = "not own or lat_s < lat_d or lat_s = lat_d and (lon_s < lon_d or lon_s = lon_d and piece_s <= piece_d)"
+    # A lambda ends generated code, which otherwise holds the pairs of all the rows that one row meets.
+    same = F.forall(F.array(F.expr("own and lat_s = lat_d and lon_s = lon_d and piece_s = piece_d")), lambda x: x)
     distance = haversine_m("lat_d", "lon_d", "lat_s", "lon_s")
-    return near.join(around, ["cx", "cy"]).where("src < dst").withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).select("src", "dst", "distance_m")
+    met = near.join(around, ["cx", "cy"]).where(once).where(distance <= radius_m)
+    met = met.select("ids_s", "ids_d", same.alias("same"), (distance if digits is None else F.round(distance, digits)).alias("distance_m"))
+    pairs = met.select("*", F.explode("ids_s").alias("p")).select("ids_d", "same", "distance_m", "p", F.explode("ids_d").alias("q"))
+    return pairs.where("p < q or p > q and not same").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), "distance_m")
 
 
 #: Cells along the edge of a block in the first round; every round doubles it.

@@ -1,4 +1,4 @@
-"""Counts of earlier neighbours against a loop over all pairs."""
+"""Neighbour pairs, and counts of earlier neighbours, against a loop over all pairs."""
 
 from __future__ import annotations
 
@@ -118,3 +118,33 @@ def test_counts_do_not_depend_on_batches(monkeypatch, rows, compared):
     assert len(found) == len(points)
     by_id = {p[0]: p for p in points}
     assert sorted(((by_id[r["dst"]], r["n_neighbours"]) for r in found), key=repr) == wanted(points)
+
+
+def paired(found):
+    return sorted((r.src, r.dst, round(r.distance_m, 6)) for r in found.collect())
+
+
+def wanted_pairs(points, reach=1):
+    return sorted((src, dst, round(m, 6)) for src, dst, m in pairs(points, reach))
+
+
+@pytest.mark.parametrize(("seed", "spread", "lat", "lon", "reach", "piece"), [(1, 40, 55.75, 37.61, 1, 256), (2, 4, 55.75, 37.61, 1, 3), (3, 30, -15e-5, -15e-5, 2, 1), (4, 100, -33.9, -70.6, 2, 2)])
+def test_pairs_equal_the_loop(spark, monkeypatch, seed, spread, lat, lon, reach, piece):
+    monkeypatch.setattr(spatial, "PIECE_IDS", piece)
+    points = lattice(seed, 150, spread, lat, lon)
+    assert paired(spatial.neighbour_pairs(frame(spark, points), reach=reach)) == wanted_pairs(points, reach)
+    assert paired(spatial.neighbour_pairs(frame(spark, points), reach=reach, digits=6)) == wanted_pairs(points, reach)
+
+
+def test_pairs_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PIECE_IDS", 2)
+    points = [(5, 55.75, 37.61), (5, 55.75, 37.61), (5, 55.75, 37.61), (5, 55.75001, 37.61), (1, 55.75, 37.61), (-3, 55.75, 37.61), (None, 55.75, 37.61), (None, 55.76, 37.61), (7, None, 37.61), (8, 55.75, None)]
+    assert paired(spatial.neighbour_pairs(frame(spark, points))) == wanted_pairs(points)
+    assert spatial.neighbour_pairs(frame(spark, [])).count() == 0
+
+
+def test_pairs_of_copies_meet_as_places(spark):
+    points = parked(600)
+    found = spatial.neighbour_pairs(frame(spark, points))
+    assert len(found.collect()) == 600 * 599 // 2
+    assert joined(found) < len(points)
