@@ -79,6 +79,6 @@ def locate(found: DataFrame, places: DataFrame) -> DataFrame:
         F.when(total > 0, F.sum(weight * F.col("lat")) / total).otherwise(F.avg("lat")).alias("lat"),
         F.when(total > 0, F.sum(weight * F.col("lon")) / total).otherwise(F.avg("lon")).alias("lon"),
         (F.max(soft) / F.sum(soft)).alias("confidence"),
-        F.count("*").alias("n"),
+        F.size(F.collect_set("rank")).alias("n"),  # candidates, also where an id has several places
     )
-    return sums.select("query_id", "lat", "lon", "confidence", F.format_string("estimated from %d similar images with confidence %.2f", "n", "confidence").alias("explanation"))
+    return sums.select("query_id", "lat", "lon", "confidence", F.format_string("estimated from %d similar images with confidence %.2f", "n", F.coalesce("confidence", F.lit(float("nan")))).alias("explanation"))

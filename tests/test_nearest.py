@@ -100,7 +100,7 @@ def test_no_join_makes_the_pairs(spark):
     assert "Join" not in plan and "nearest" not in plan and "MapInArrow" in plan
 
 
-@pytest.mark.parametrize("name", ["topk_similar", "locate"])
+@pytest.mark.parametrize("name", ["topk_similar", "locate", "locate_explained"])
 def test_odd_tables_equal_sql(spark, tmp_path, name):
     rows = _random(400, 8, 5)
     rows += [(400 + n, rows[n % 100][1]) for n in range(150)]
